@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import equations, grids  # noqa: F401
+from .plans.tables import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "prj03_insitu_equations"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
