@@ -171,9 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: st
         for b in batches:
             yield pd.DataFrame({"bucket": pair_bucket(b["v"].to_numpy(), b["w"].to_numpy()), "n0": b["n0"], "n1": b["n1"]})
 
-    # each of the three has as many rows as there are buckets, at most
-    pairs = counts.mapInPandas(bucketed, "bucket long, n0 long, n1 long").groupBy("bucket").agg(*whole).toPandas()
-    model = KneserNey(pairs, counts.groupBy("v").agg(*whole, *taken_off).toPandas(), counts.groupBy("w").agg(*some).toPandas())
+    # each of the three has as many rows as there are buckets, at most; of pairs, only what the discount leaves matters
+    frequent = counts.where(F.greatest("n0", "n1") > DISCOUNT)
+    pairs = frequent.mapInPandas(bucketed, "bucket long, n0 long, n1 long").groupBy("bucket").agg(*whole)
+    tables = [t.toArrow().to_pandas() for t in (pairs, counts.groupBy("v").agg(*whole, *taken_off), counts.groupBy("w").agg(*some))]
+    model = KneserNey(*tables)
+    del tables
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
