@@ -30,6 +30,8 @@ WORDS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 #: Words and pairs of pieces that a worker remembers.
 REMEMBERED = 900_000
 NONE, FIRST, UNKNOWN = -1, -2, -3
+#: Stands between words; a text may hold any character, NUL too.
+BETWEEN = -1
 _open: dict[str, Matcher] = {}
 
 
@@ -118,7 +120,7 @@ class Matcher:
         n = len(codes)
         while reach < self.longest:
             second = np.zeros(n, np.int64)
-            second[: n - reach] = rank[reach:] + 1
+            second[: max(0, n - reach)] = rank[reach:] + 1
             key = rank * np.int64(n + 1) + second
             order = np.argsort(key)
             sorted_key = key[order]
@@ -131,7 +133,7 @@ class Matcher:
         """For each piece, the range of the suffix array whose suffixes start with it."""
         n = len(order)
         low, high = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), n)
-        padded = np.concatenate([codes, np.zeros(self.longest + 1, codes.dtype)])
+        padded = np.concatenate([codes, np.full(self.longest + 1, BETWEEN, codes.dtype)])
         for k in range(self.longest):
             live = np.flatnonzero((self.length > k) & (low < high))
             want = self.codes[live, k]
@@ -169,6 +171,7 @@ class Matcher:
         codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int32)
         sizes = np.array([len(w) for w in words])
         start = np.cumsum(np.r_[0, sizes[:-1] + 1])
+        codes[start + sizes] = BETWEEN
         order = self.suffixes(codes)
         low, high = self.ranges(codes, order)
         many = high - low
@@ -177,7 +180,7 @@ class Matcher:
         # a character without a piece of its own is an edge by itself
         have = np.zeros(len(codes), bool)
         have[edge_from[edge_len == 1]] = True
-        lone = np.flatnonzero(~have & (codes != 0))
+        lone = np.flatnonzero(~have & (codes != BETWEEN))
         edge_from = np.concatenate([edge_from, lone])
         edge_len = np.concatenate([edge_len, np.ones(len(lone), np.int64)])
         edge_id = np.concatenate([edge_id, np.full(len(lone), UNKNOWN)])
