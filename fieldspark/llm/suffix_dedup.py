@@ -100,7 +100,9 @@ class Names:
         self.last = np.maximum.reduceat(doc, self.start) if len(doc) else doc
 
     def lists(self) -> Iterator[tuple[int, bytes]]:
-        cuts = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(self.bucket) else []
+        if not len(self.bucket):
+            return
+        cuts = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]])
         for a, b in zip(cuts, [*cuts[1:], len(self.bucket)], strict=True):
             yield int(self.bucket[a]), pack_sorted(self.key[a:b])
 
