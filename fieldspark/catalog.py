@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import equations, grids  # noqa: F401
+from .plans import constraints, equations, grids, ordered  # noqa: F401
 from .plans.tables import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "prj03_insitu_equations"
