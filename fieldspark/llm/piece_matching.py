@@ -28,7 +28,9 @@ from .storage import new_path, write_and_read
 SPACE = "▁"
 WORDS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 #: Words and pairs of pieces that a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
+#: Characters of text that are cut into words at once, and of new words whose suffixes are sorted at once.
+PART, BATCH = 4_000_000, 400_000
 NONE, FIRST, UNKNOWN = -1, -2, -3
 #: Stands between words; a text may hold any character, NUL too.
 BETWEEN = -1
@@ -157,10 +159,10 @@ class Matcher:
         if len(self.words) + len(new) > REMEMBERED and self.words:
             self.words, new = {}, list(words)
         at, batch = 0, []
-        for w in new:  # a batch of about a million characters
+        for w in new:
             batch.append(w)
             at += len(w) + 1
-            if at > 1_000_000:
+            if at > BATCH:
                 self._learn(batch)
                 at, batch = 0, []
         if batch:
@@ -236,17 +238,17 @@ class Matcher:
         return np.array(out, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [WORDS.split(s) if self.split_words else [s] for s in map(self.sp.normalize, texts)]
-        cut = [[w for w in ws if w] for ws in cut]
-        out, at = [], 0
-        while at < len(cut):  # documents in parts, so that what they need is remembered together
-            stop, need = at, set()
-            while stop < len(cut) and (len(need) < REMEMBERED // 3 or stop == at):
-                need.update(cut[stop])
-                stop += 1
-            self.learn(need)
-            out.extend(np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in cut[at:stop])
-            at = stop
+        out, cut, need, size = [], [], set(), 0
+        for k, text in enumerate(texts, 1):
+            s = self.sp.normalize(text)
+            cut.append([w for w in WORDS.split(s) if w] if self.split_words else [s] * bool(s))
+            need.update(cut[-1])
+            size += len(s)
+            # documents in parts, so that what they need is remembered together
+            if k == len(texts) or size > PART or len(need) > REMEMBERED // 3:
+                self.learn(need)
+                out.extend(np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in cut)
+                cut, need, size = [], set(), 0
         return out
 
     def decode(self, ids: np.ndarray) -> str:
