@@ -55,6 +55,13 @@ class Scratch:
         df.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
         return self.spark.table(name)
 
+    def drop(self, what: str) -> None:
+        """Deletes the tables of a name that nothing reads any more."""
+        gone = [p for p in self.paths if f"/llm-{what}-" in p]
+        for path in gone:
+            delete_path(self.spark, path)
+        self.paths = [p for p in self.paths if p not in gone]
+
     def clear(self) -> None:
         for path in self.paths:
             delete_path(self.spark, path)

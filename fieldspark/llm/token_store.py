@@ -114,6 +114,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     release_shuffles(spark)
     ordered = encoded.select("doc_id", "n_tokens", "chunks", "node").repartitionByRange(partitions(spark), "doc_id", "node")
     ordered = scratch.table(ordered.withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "node"), "ordered")
+    scratch.drop("encoded")
+    del encoded
+    release_shuffles(spark)
     sums = ordered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
     # one row for each partition
     base = sums.select("*", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("base"))
