@@ -21,13 +21,13 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch, new_path, write_and_read
-from .tokens import ChunkEncoder
+from .tokens import ChunkEncoder, ascending
 
 #: What a cut costs, in ids of padding: at the end of a document, of a sentence, elsewhere.
 END_OF_DOCUMENT, END_OF_SENTENCE, ELSEWHERE = 0.0, 1.0, 4.0
@@ -64,21 +64,19 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def cut_points(sizes: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and penalties of the cut points of one document: of its chunks, sizes and which end a sentence."""
-    at = np.cumsum(sizes)
-    total = int(at[-1])
-    points = np.unique(np.append(at[ends], total))
+def cut_points(sentence_ends: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and penalties of the cut points of documents that follow one another."""
+    points = ascending(sentence_ends, doc_ends)
     gaps = np.diff(points, prepend=0)
     stride = min(STRIDE, length)
-    extra = [np.arange(p - g + stride, p, stride) for p, g in zip(points[gaps > stride], gaps[gaps > stride], strict=True)]
-    within = np.concatenate(extra) if extra else np.zeros(0, np.int64)
+    # inside a gap of g ids lie ceil(g / stride) - 1 further points
+    inside = (gaps - 1) // stride
+    rank = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
+    within = np.repeat(points - gaps, inside) + stride * (rank + 1)
     both = np.concatenate([points, within])
-    cost = np.concatenate([np.full(len(points), END_OF_SENTENCE), np.full(len(within), ELSEWHERE)])
-    order = np.argsort(both, kind="stable")
-    both, cost = both[order], cost[order]
-    cost[-1] = END_OF_DOCUMENT
-    return both, cost
+    cost = np.concatenate([np.where(np.isin(points, doc_ends), END_OF_DOCUMENT, END_OF_SENTENCE), np.full(len(within), ELSEWHERE)])
+    order = np.argsort(both)
+    return both[order], cost[order]
 
 
 class Stream:
@@ -92,8 +90,10 @@ class Stream:
         self.cost: list[np.ndarray] = [np.zeros(1)]
         self.n = 0
 
-    def add(self, doc_id, ids: np.ndarray, points: np.ndarray, cost: np.ndarray) -> None:
-        self.docs.append((doc_id, self.n, 0, len(ids)))
+    def add(self, doc_ids: list, ids: np.ndarray, doc_ends: np.ndarray, points: np.ndarray, cost: np.ndarray) -> None:
+        """Adds documents whose ids end at doc_ends, none of them without ids."""
+        starts = np.append(0, doc_ends[:-1])
+        self.docs += zip(doc_ids, (starts + self.n).tolist(), [0] * len(doc_ids), (doc_ends - starts).tolist(), strict=True)
         self.ids.append(ids)
         self.at.append(points + self.n)
         self.cost.append(cost)
@@ -136,10 +136,6 @@ class Stream:
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "offset"]
 
 
-def ends_sentence(chunk: str) -> bool:
-    return chunk[-1] in ".!?" or "\n" in chunk
-
-
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -153,31 +149,29 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_co
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stream = TaskContext.get().partitionId(), Stream(length)
         encoder = ChunkEncoder.of(tokenizer)
 
-        def told(pieces: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(pieces, columns=PIECES)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            return out.assign(part=part)
+        def told(pieces: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)] if pieces else [pa.array([], pa.int64())] * len(PIECES)
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(pieces), pa.int32())], names=[*PIECES, "part"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids, chunks, parts = encoder.encode(text)
-                sizes = np.array([len(p) // 4 for p in parts] + [1])
-                ends = np.array([ends_sentence(c) for c in chunks] + [True], bool)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, beyond, e in encoder.encode(batch.column("text")):
                 # the end id stays with the last sentence
-                if len(ends) > 1:
-                    ends[-2] = False
-                points, cost = cut_points(sizes, ends, length)
-                stream.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)), points, cost)
+                sentences = e.chunk_ends[e.sentence & (e.chunk_ends > 0) & ~np.isin(e.chunk_ends, e.ends)]
+                sentences = sentences + np.searchsorted(e.ends, sentences)
+                ends = e.ends + np.arange(1, len(e.ends) + 1)
+                ids = np.insert(e.ids, e.ends, np.uint32(end_id))
+                stream.add(doc_ids[first:beyond], ids, ends, *cut_points(sentences, ends, length))
                 if stream.n >= STREAM:
                     yield told(stream.pack(last=False))
         yield told(stream.pack(last=True))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, part int"
-    pieces = scratch.table(rows.mapInPandas(run, schema), "pieces")
+    pieces = scratch.table(rows.mapInArrow(run, schema), "pieces")
     sizes = pieces.groupBy("part").agg((F.max("local") + 1).alias("own"))
     # one row for each partition of the input
     base = sizes.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from .storage import Scratch, new_path, partitions, release_shuffles, write_and_
 from .tokens import ChunkEncoder
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 1024, 8
+CHUNK = {"digest": pa.binary(), "n": pa.int32(), "crc": pa.int64(), "payload": pa.binary()}
 
 
 def cut(ids: np.ndarray) -> list[int]:
@@ -85,31 +87,45 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = ChunkEncoder.of(tokenizer), set()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encoder.encode(text)[0], np.uint32(end_id))
-                digests, fresh = [], []
-                last = 0
-                for e in cut(ids):
-                    payload = to_payload(ids[last:e])
-                    d = hashlib.sha256(payload).digest()
-                    digests.append(d)
-                    if d not in seen:  # a chunk that this task has written is not written again
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(d)
-                        fresh.append({"digest": d, "n": e - last, "crc": zlib.crc32(ids[last:e].astype("<u4").tobytes()), "payload": payload})
-                    last = e
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(ids), digests, node_of(None if pd.isna(doc_id) else int(doc_id), len(ids), digests), fresh))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "chunks", "node", "fresh"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, beyond, e in encoder.encode(batch.column("text")):
+                names = doc_ids[first:beyond]
+                many, nodes, digests, upto, fresh, fresh_upto = [], [], [], [0], [], [0]
+                for doc_id, text_ids in zip(names, e.each(), strict=True):
+                    ids, own, last = np.append(text_ids, np.uint32(end_id)), [], 0
+                    for end in cut(ids):
+                        payload = to_payload(ids[last:end])
+                        d = hashlib.sha256(payload).digest()
+                        own.append(d)
+                        if d not in seen:  # a chunk that this task has written is not written again
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add(d)
+                            fresh.append((d, end - last, zlib.crc32(ids[last:end].astype("<u4", copy=False).tobytes()), payload))
+                        last = end
+                    many.append(len(ids))
+                    nodes.append(node_of(doc_id, len(ids), own))
+                    digests += own
+                    upto.append(len(digests))
+                    fresh_upto.append(len(fresh))
+                columns = list(zip(*fresh, strict=True)) or [()] * len(CHUNK)
+                items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, CHUNK.values(), strict=True)], names=list(CHUNK))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(names, pa.int64()),
+                        pa.array(many, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(digests, pa.binary())),
+                        pa.array(nodes, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(fresh_upto, pa.int32()), items),
+                    ],
+                    names=["doc_id", "n_tokens", "chunks", "node", "fresh"],
+                )
 
     schema = "doc_id long, n_tokens long, chunks array<binary>, node binary, fresh array<struct<digest: binary, n: int, crc: long, payload: binary>>"
-    encoded = scratch.table(rows.mapInPandas(encode, schema), "encoded")
+    encoded = scratch.table(rows.mapInArrow(encode, schema), "encoded")
     encoded.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     release_shuffles(spark)
     ordered = encoded.select("doc_id", "n_tokens", "chunks", "node").repartitionByRange(partitions(spark), "doc_id", "node")

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import EDGE, frame, texts
 from hypothesis import given, settings
@@ -27,21 +28,42 @@ def library_ids(path, text):
 
 
 _open: dict = {}
+
+
+def encoded(path, many):
+    out = []
+    for first, beyond, e in tokens.ChunkEncoder.of(path).encode(pa.array(many, pa.string())):
+        found = [ids.tolist() for ids in e.each()]
+        assert first == len(out) and len(found) == beyond - first
+        out += found
+    return out
+
+
 ODD = ["", " ", "a  b", " lead", "trail ", "tabs\tand\nlines\r\n", "don't  stop", "<s> </s> <unk> [CLS]", "日本語 テキスト", "🙂 🙂🙂", "é é", " nbsp　wide", "x" * 5000, "3.14 1,000 100%", "ﬁ ligature"]
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_chunks_give_the_ids_of_whole_texts(spark, path):
-    encoder = tokens.ChunkEncoder.of(path)
-    for text in [*ODD, *(t for _, t in texts(spark)), *(t for _, t in EDGE if t)]:
-        assert encoder.encode(text)[0].tolist() == library_ids(path, text)
+    many = [*ODD, *(t for _, t in texts(spark)), *(t for _, t in EDGE), None]
+    assert encoded(path, many) == [library_ids(path, text) for text in many]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab .'\n\té<s>1🙂 ", max_size=40))
-def test_chunks_of_random_texts(text):
+@given(st.lists(st.text(alphabet="ab .'\n\té<s>1🙂 \u00a0\u2003\u3000\u0301\x85Σ", max_size=40), max_size=4))
+def test_chunks_of_random_texts(many):
     for path in (WORDS, BYTES):
-        assert tokens.ChunkEncoder.of(path).encode(text)[0].tolist() == library_ids(path, text)
+        assert encoded(path, many) == [library_ids(path, text) for text in many]
+
+
+def test_what_is_remembered_stays_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    monkeypatch.setattr(tokens, "SLICE", 30)
+    encoder = tokens.ChunkEncoder(BYTES)
+    many = [" ".join(f"w{i * j}" for j in range(9)) for i in range(60)]
+    found = [ids.tolist() for _, _, e in encoder.encode(pa.array(many)) for ids in e.each()]
+    assert found == [library_ids(BYTES, text) for text in many]
+    assert 0 < len(encoder.known) <= 50
 
 
 # -- the store
@@ -149,7 +171,8 @@ def test_stream_loses_no_id_when_cut_early():
         docs[i] = ids
         ends = rng.random(len(ids)) < 0.1
         ends[-1] = True
-        stream.add(i, ids, *packing.cut_points(np.ones(len(ids), int), ends, 50))
+        end = np.array([len(ids)])
+        stream.add([i], ids, end, *packing.cut_points(np.flatnonzero(ends) + 1, end, 50))
         if stream.n > 700:
             pieces += stream.pack(last=False)
     pieces += stream.pack(last=True)
