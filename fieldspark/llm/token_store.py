@@ -32,6 +32,8 @@ from .storage import Scratch, new_path, partitions, release_shuffles, write_and_
 from .tokens import ChunkEncoder
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 1024, 8
+#: Parts, by digest, in which chunks are shuffled, so that the payloads of one part only lie in shuffle files at a time.
+ROUNDS = 3
 CHUNK = {"digest": pa.binary(), "n": pa.int32(), "crc": pa.int64(), "payload": pa.binary()}
 
 
@@ -126,8 +128,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
     schema = "doc_id long, n_tokens long, chunks array<binary>, node binary, fresh array<struct<digest: binary, n: int, crc: long, payload: binary>>"
     encoded = scratch.table(rows.mapInArrow(encode, schema), "encoded")
-    encoded.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    release_shuffles(spark)
+    found = encoded.select(F.explode("fresh").alias("c")).select("c.*")
+    for k in range(ROUNDS):
+        # a task has written a chunk once, so that even a frequent one has few rows; moved first, they are sorted only once
+        some = found.where(F.pmod(F.crc32("digest"), F.lit(ROUNDS)) == k).repartition(partitions(spark), "digest").dropDuplicates(["digest"])
+        some.write.mode("append").option("compression", "zstd").parquet(f"{path}/chunks")
+        del some
+        release_shuffles(spark)
     ordered = encoded.select("doc_id", "n_tokens", "chunks", "node").repartitionByRange(partitions(spark), "doc_id", "node")
     ordered = scratch.table(ordered.withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "node"), "ordered")
     scratch.drop("encoded")
