@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cells import by_cell, forest, pair_cells
 from .components import connected_components
-from .storage import Scratch, new_path, write_and_read
+from .storage import Scratch, new_path, partitions, write_and_read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -207,8 +207,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-#: Words of a wide fingerprint, bands of its bits, and the least bits of a band.
-WIDE, BANDS, BAND_BITS = 4, 24, 16
+#: Words of a wide fingerprint.
+WIDE = 4
+#: A pair at Jaccard similarity s is compared with a probability of 1 - (1 - s**ROWS)**BANDS, in a table of any size:
+#: 0.9999 at 0.8, and more above it.  Other similarities get as many bands as they need for the same.
+ROWS, BANDS = 5, 24
+#: Most sets of a group that one cell compares at once, and the shingles taken at a time.
+SET_CELL_ROWS, SET_COLUMNS = 1024, 8192
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -216,14 +221,21 @@ def radius_for(similarity: float, bits: int) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes | None:
-    """64 * WIDE bits over the distinct shingles of a text; None where it has no word."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles of a text; the whole text where it has fewer words; none without a word."""
     words = WORD.findall((text or "").translate(UPPER_TO_LOWER))
     if not words:
-        return None
+        return np.zeros(0, np.uint64)
     grams = {" ".join(words)} if len(words) < shingle else set(map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g.encode(), SEED) for g in grams), np.uint64, len(grams))
+    return np.fromiter((digest(g.encode(), SEED) for g in grams), np.uint64, len(grams))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes | None:
+    """64 * WIDE bits over the distinct shingles of a text; None where it has no word."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return None
     votes = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(h), 1 << 15):
         own = h[at : at + (1 << 15)]
@@ -235,46 +247,101 @@ def wide_fingerprint(text: str | None, shingle: int) -> bytes | None:
     return np.packbits(2 * votes > len(h), bitorder="little").tobytes()
 
 
+def bands_for(similarity: float) -> int:
+    """Bands that miss a pair at this similarity as rarely as BANDS do at 0.8."""
+    return max(1, int(np.ceil(BANDS * np.log1p(-(0.8**ROWS)) / np.log1p(-(min(similarity, 0.999) ** ROWS)))))
+
+
+def band_keys(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One key for each row of factors (bands, ROWS): a hash of the least shingles in ROWS orders."""
+    least = np.full(factors.size, ONES)
+    for at in range(0, len(h), 1 << 11):
+        np.minimum(least, (h[at : at + (1 << 11), None] * factors.ravel()).min(axis=0), out=least)
+    keys = np.arange(1, len(factors) + 1, dtype=np.uint64)
+    for column in least.reshape(factors.shape).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def similar(sets: list[np.ndarray], chunk: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs whose Jaccard similarity is at least the given one; of two chunks, only pairs across them."""
+    cross = chunk.min() != chunk.max()
+    left = np.flatnonzero(chunk == chunk.min()) if cross else np.arange(len(sets))
+    right = np.flatnonzero(chunk != chunk.min()) if cross else left
+    sizes = np.array([len(s) for s in sets])
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = seen[column] > 1  # what only one set has is in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, SET_COLUMNS):
+        a, b = np.searchsorted(column, [at, at + SET_COLUMNS])
+        has = np.zeros((len(sets), int(column[b - 1]) - at + 1), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        both += has[left] @ has[right].T
+    near = both / (sizes[left][:, None] + sizes[right] - both) >= similarity
+    i, j = np.nonzero(near if cross else np.triu(near, 1))
+    return left[i], right[j]
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document with an id and a word, for similarities far below a few bits of 64.
 
-    Fingerprints have 256 bits; two are linked where as many bits differ, or
-    fewer, as do on average at the given Jaccard similarity of shingles.
-    They are compared where one of BANDS choices of bits agrees; a band has
-    more bits, the more documents there are.  At a similarity of 0.9 a pair
-    is found with a probability of 0.99, at 0.8 of 0.8.
+    Two documents are linked where the Jaccard similarity of their sets of
+    shingles is the given one or more; shingles count as equal where their
+    64-bit hashes are.  Pairs are compared where one of the bands agrees, each
+    the least shingles in ROWS orders: a share that depends on the similarity
+    alone, not on the number of documents (see BANDS).  Documents of one set
+    are one node.  Groups return a forest of their links, never all pairs.
     """
     scratch = Scratch(docs.sparkSession)
+    factors = np.random.default_rng(1000).integers(0, 1 << 63, (bands_for(similarity), ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def own_of(h: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(np.sort(h).astype("<u8").tobytes(), SEED) - (1 << 63)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [wide_fingerprint(t, shingle) for t in batch["text"]]})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.table(rows.mapInPandas(run, "doc_id long, fp binary").where("fp IS NOT NULL"), "wide")
-    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    band_bits = max(BAND_BITS, int(np.ceil(np.log2(max(1, nodes.count())))) - 4)
-    chosen = np.array([np.random.default_rng(1000 + k).choice(64 * WIDE, band_bits, replace=False) for k in range(BANDS)])
-    radius = radius_for(similarity, 64 * WIDE)
+            made = [(i, own_of(h), band_keys(h, factors)) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if len(h := shingles(t, shingle))]
+            yield pd.DataFrame(made, columns=["doc_id", "own", "keys"])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = np.int64(1) << np.arange(band_bits, dtype=np.int64)
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
-            key = bits[:, chosen].astype(np.int64) @ powers + (np.arange(BANDS, dtype=np.int64) << 48)
-            again = np.repeat(np.arange(len(batch)), BANDS)
-            yield pd.DataFrame({"node": batch["node"].to_numpy()[again], "fp": batch["fp"].to_numpy()[again], "key": key.ravel()})
-
-    cells = pair_cells(nodes.select("node", "fp").mapInPandas(deal, "node long, fp binary, key long"), "key", "node", CELL_ROWS)
-
-    def work(groups: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = [(g["node"].to_numpy(), np.frombuffer(b"".join(g["fp"]), "<u8").reshape(len(g), -1), g["chunk"].to_numpy()) for g in groups]
-        a, b = links_within(made, radius)
-        yield pd.DataFrame({"a": a, "b": b})
+            made = [(own, np.sort(h).astype("<u8").tobytes()) for own, t in zip(batch["own"], batch["text"], strict=True) if own_of(h := shingles(t, shingle)) == own]
+            yield pd.DataFrame(made, columns=["own", "set"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = scratch.table(texts.mapInPandas(run, "doc_id long, own long, keys array<long>"), "bands")
+    nodes = scratch.table(rows.groupBy("own").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
+    dealt = nodes.select("own", "rep", F.explode("keys").alias("key"))
+    # groups of the same members are compared once
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "own")).alias(f"m{k}") for k in (1, 2)]
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
+    groups = groups.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key").repartition(partitions(docs.sparkSession))
+    cells = scratch.table(pair_cells(dealt.join(groups, "key"), "key", "own", SET_CELL_ROWS), "cells")
+    # only documents of a group have their sets made and moved
+    asked = cells.select("own", F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.table(texts.join(asked, "doc_id").select("own", "text").mapInPandas(sets_of, "own long, set binary"), "sets")
+
+    def work(found: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for g in found:
+            own = g["own"].to_numpy()
+            i, j = similar([np.frombuffer(s, "<u8") for s in g["set"]], g["chunk"].to_numpy(), similarity)
+            a, b = _thin(own[i], own[j])
+            out_a.append(a), out_b.append(b)
+        yield pd.DataFrame(dict(zip("ab", _thin(np.concatenate(out_a), np.concatenate(out_b)), strict=True)))
 
-    found = connected_components(by_cell(cells, "key", work, "a long, b long"), "a", "b", scratch)
-    known = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = write_and_read(rows.join(known, "fp").select("doc_id", "component_id"), new_path(docs.sparkSession, "near"))
+    links = by_cell(cells.select("key", "lo", "hi", "chunk", "own").join(sets, "own"), "key", work, "a long, b long")
+    found = connected_components(links, "a", "b", scratch)
+    known = nodes.join(found, nodes.own == found.node, "left").select("own", "rep", F.coalesce("component", "own").alias("component"))
+    known = scratch.table(known, "members")
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(least, "component").select("own", "component_id")
+    out = write_and_read(rows.select("doc_id", "own").join(known, "own").select("doc_id", "component_id"), new_path(docs.sparkSession, "near"))
     scratch.clear()
     return out
 

@@ -108,6 +108,36 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(30))
 
 
+def five_words(text):
+    return set(zip(*(text.split()[i:] for i in range(5)), strict=False))
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("cell_rows", [1024, 3])
+def test_near_groups_against_brute_force_jaccard(spark, monkeypatch, cell_rows):
+    """Pairs from 0.75 to 0.9, and a group whose members are near to its first only."""
+    monkeypatch.setattr(simhash, "SET_CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for k in range(160):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 240)]
+        copy, tail = list(words), 12 + k % 24
+        copy[len(copy) - tail :] = [f"v{x}" for x in rng.integers(0, 100_000, tail)]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(copy))]
+        pairs.append(jaccard(five_words(rows[-2][1]), five_words(rows[-1][1])))
+    words = [f"u{x}" for x in range(240)]
+    rows.append((2000, " ".join(words)))
+    for k in range(12):
+        rows.append((2001 + k, " ".join([*words[: 18 * k], *(f"t{k}_{x}" for x in range(18)), *words[18 * k + 18 :]])))
+    assert min(pairs) < 0.76 and max(pairs) > 0.89
+    links = all_links([(i, five_words(t)) for i, t in rows], lambda x, y: jaccard(x, y) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert got == components([i for i, _ in rows], links)
+
+
 # -- suffixes
 
 
