@@ -138,6 +138,19 @@ def test_near_groups_against_brute_force_jaccard(spark, monkeypatch, cell_rows):
     assert got == components([i for i, _ in rows], links)
 
 
+def test_bands_find_pairs_in_a_table_of_any_size():
+    """The share of pairs that is compared, by calculation and for made sets, does not know the table's size."""
+    for similarity in (0.5, 0.8, 0.9):
+        assert (1 - similarity**simhash.ROWS) ** simhash.bands_for(similarity) < 1e-4
+    rng = np.random.default_rng(4)
+    factors = rng.integers(0, 1 << 63, (simhash.BANDS, simhash.ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    missed = 0
+    for _ in range(1000):
+        h = rng.integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2)
+        missed += not (simhash.band_keys(h[:90], factors) == simhash.band_keys(h[10:], factors)).any()
+    assert missed <= 2
+
+
 # -- suffixes
 
 
