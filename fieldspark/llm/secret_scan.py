@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = "A-Za-z0-9_+/=~-"
-#: A run of token characters with a digit in it, or a block of a private key.
-CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----[A-Za-z0-9+/=\s]{{0,8000}}-----END [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{TOKEN}])(?=[{TOKEN}]{{0,200}}[0-9])[{TOKEN}]{{16,4096}}"
+#: A whole run of token characters with a digit anywhere in it, or a block of a private key, headers and all.  Neither has
+#: a greatest length; the quantifiers are possessive, so a long run costs one pass.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----\s*(?:[A-Za-z][A-Za-z-]*:[^\r\n]*[\r\n]+)*+[A-Za-z0-9+/=\s]*-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+CANDIDATE = rf"{KEY_BLOCK}|(?<![{TOKEN}])(?=[A-Za-z_+/=~-]*+[0-9])[{TOKEN}]{{16,}}+"
 ASKS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signing"
 INNOCENT = "commit|sha|md5|hash|checksum|digest|uuid|guid|etag|revision|order|card|account|phone|isbn|serial|build|version|trace"
 KNOWN = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ|npm_|-----BEGIN)"
@@ -76,7 +78,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     g = F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")).cast("binary"), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(g)), "\\s", "")
 
-    def pick(salt: str, *values: str) -> Column:
+    def pick(salt: str, *values) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(values))) + 1).cast("int"))
 
     def sub(c: Column, n: int) -> Column:
@@ -90,7 +92,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     uuid = F.concat_ws("-", sub(h, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     digits = F.substring(F.regexp_replace(F.concat(h, g), "[^0-9]", ""), 1, 24)
     name = F.concat_ws("_", pick("w1", "user", "request", "session", "document", "template", "message"), pick("w2", "manager", "handler", "factory", "buffer", "status", "index"), pick("w3", "test", "value", "config", "count", "v2", "item3"), F.pmod(i, F.lit(1000)).cast("string"))
-    hexes = F.when(i % 7 < 5, sub(h, 40)).when(i % 7 == 5, sub(h, 32)).otherwise(h)
+    # by a hash: the kinds below go by the number itself, and a length must not tell them apart
+    hexes = F.substring(F.concat(h, g), F.lit(1), pick("l", 40, 40, 40, 32, 32, 64, 128))
     kinds = [
         (1, F.concat(prose, asks, equals), hexes), (1, F.concat(prose, asks, equals), sub(b64, 40)), (1, F.concat(prose, pick("v", "", "key ", "aws ")), F.concat(F.lit("AKIA"), sub(F.upper(h), 16))),
         (1, F.concat(prose, pick("v", "", "use ", "token ")), F.concat(pick("t", "ghp_", "glpat-", "sk_live_", "npm_"), sub(F.regexp_replace(b64, "[+/=]", "Q"), 36))), (1, F.concat(prose, asks, equals), F.upper(hexes)), (1, F.concat(prose, asks, equals), F.concat(sub(b64, 20), F.lit("="))),
@@ -133,7 +136,7 @@ def as_column(model: RandomForestClassificationModel, f: Column) -> Column:
 def scanned(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """docs with __llm_gaps (the text between candidates) and __llm_found: candidate, start, score of each, in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike("[0-9]")
+    some = text.rlike("[0-9]|-----BEGIN")
     hits = F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("__llm_hits", hits)
     gaps = F.when(F.size("__llm_hits") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))

@@ -54,6 +54,30 @@ def test_secrets_found_and_others_left(spark, forest):
     assert masked == {1: 'first api_key = "[SECRET]" and more', 2: rows[1][1], 3: rows[2][1], 4: 'a token: "[SECRET]" b secret = "[SECRET]" c', 5: None}
 
 
+def test_long_secrets_and_key_blocks_are_masked_whole(spark, forest):
+    rng = np.random.default_rng(6)
+    signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    values = ["".join(rng.choice(signs, n)) for n in (32, 64, 6000)]
+    values += ["".join(rng.choice(list("0123456789abcdef"), n)) for n in (32, 40, 64, 128)]
+    values.append("".join(rng.choice(signs[:52], 400)) + "7Qx")  # the first digit comes late
+    lines = "".join("".join(rng.choice(signs, 64)) + "\n" for _ in range(196))
+    for kind, head in (("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"), ("", ""), ("EC ", "")):
+        values.append(f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{lines}-----END {kind}PRIVATE KEY-----")
+    rows = [(i, f'first api_key = "{v}" and more') for i, v in enumerate(values)]
+    found = secret_scan.scan(frame(spark, rows), forest).collect()
+    assert sorted((r.doc_id, r.start, r.n_chars) for r in found) == [(i, 17, len(v)) for i, v in enumerate(values)]
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(frame(spark, rows), forest).collect()}
+    assert masked == {i: 'first api_key = "[SECRET]" and more' for i in range(len(values))}
+    clean = [(i, f"see commit {''.join(rng.choice(list('0123456789abcdef'), n))} of the day") for i, n in enumerate((32, 40, 64, 128))]
+    assert not any(r.is_secret for r in secret_scan.scan(frame(spark, clean), forest).collect())
+
+
+def test_length_does_not_tell_the_kind(spark):
+    """Every length of hexadecimal stands among the secrets and among the others."""
+    rows = secret_scan.labelled_findings(spark, 3000).where("candidate RLIKE '^[0-9a-f]+$'").select("label", F.length("candidate").alias("n")).distinct().collect()
+    assert {r.n for r in rows if r.label == 1} >= {32, 40, 64, 128} <= {r.n for r in rows if r.label == 0}
+
+
 def test_scan_runs_no_python(spark, forest):
     plan = secret_scan.scan(frame(spark, [(1, "x")]), forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
