@@ -37,8 +37,8 @@ def transposed(h: DataFrame, y: DataFrame) -> DataFrame:
 def conjugate_gradient(h: DataFrame, d: DataFrame, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """The state (col, x) of least cost; d is (row, d, weight).
 
-    Ends when the gradient's norm is tolerance times that at the start, or
-    after iterations.  Columns of H that no row of d reaches stay out: they
+    Ends when the gradient's norm is tolerance times that at the start, and
+    raises where that takes more than the iterations.  Columns of H that no row of d reaches stay out: they
     are zero.  The matrix I + H'WH is positive, so every step goes downhill.
     """
     goal = transposed(h, d.select("row", (F.col("weight") * F.col("d")).alias("v")))
@@ -58,6 +58,8 @@ def conjugate_gradient(h: DataFrame, d: DataFrame, iterations: int = 100, tolera
         state = moved.withColumn("p", F.col("r") + norm / sums.rr * F.col("p"))
         if norm <= start * tolerance**2:
             break
+    else:
+        raise RuntimeError(f"the minimiser did not reach its tolerance in {iterations} iterations")
     return state.select("col", "x")
 
 

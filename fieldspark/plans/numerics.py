@@ -140,4 +140,4 @@ def sol11_conjugate_gradient(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem")
     h = lines.groupBy(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col")).agg((F.sum("l_quantity") / 50).alias("h"))
     d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_totalprice") / 100_000).alias("d"), F.lit(0.2).alias("weight"))
-    return rounded(solve.conjugate_gradient(h, d, iterations=6), "col")
+    return rounded(solve.conjugate_gradient(h, d, tolerance=1e-9), "col")

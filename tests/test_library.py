@@ -92,3 +92,19 @@ def test_minimiser_against_a_direct_solution(spark):
     assert max(abs(got.get(j, 0.0) - want[j]) for j in range(n)) < 1e-6
     best = 0.5 * (want @ want + (weight * (dense @ want - value) ** 2).sum())
     assert abs(solve.cost(h, d, found) - best) < 1e-6
+
+
+def test_minimiser_query_is_the_dense_solution(spark):
+    from fieldspark import catalog
+
+    at = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{at}/lineitem.parquet").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("double")).collect()
+    orders = {r[0]: float(r[1]) / 100_000 for r in spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("double")).collect()}
+    row, col = ({k: i for i, k in enumerate(sorted(keys))} for keys in (orders, {r[1] for r in lines}))
+    dense = np.zeros((len(row), len(col)))
+    for order, part, quantity in lines:
+        if order in row:
+            dense[row[order], col[part]] += quantity / 50
+    want = np.linalg.solve(np.eye(len(col)) + 0.2 * dense.T @ dense, 0.2 * dense.T @ np.array([orders[k] for k in sorted(orders)]))
+    got = {r.col: r.x for r in catalog.QUERIES["sol11_conjugate_gradient"](spark, at).collect()}
+    assert max(abs(float(got.get(k, 0.0)) - want[i]) for k, i in col.items()) < 6e-5
