@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import by_cell, forest, pair_cells
+from .cells import by_cell, forest, pair_cells, whole_runs
 from .components import connected_components
-from .storage import Scratch, new_path, partitions, write_and_read
+from .storage import Scratch, new_path, partitions, scratched, write_and_read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -164,7 +164,8 @@ def _large(ids: np.ndarray, fp: np.ndarray, chunk: np.ndarray, radius: int) -> t
     return a, b
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+@scratched
+def simhash_dedup(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint, component_id, kept.
 
     component_id is the smallest doc_id that links reach, its own included;
@@ -176,7 +177,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if not 1 <= radius <= 2:
         raise ValueError("the four-part tables are exact for a radius of 1 or 2")
-    scratch = Scratch(docs.sparkSession)
     rows = scratch.table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     parts = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
@@ -202,23 +202,26 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
-    out = write_and_read(out, new_path(docs.sparkSession, "simhash"))
-    scratch.clear()
-    return out
+    return write_and_read(out, new_path(docs.sparkSession, "simhash"))
 
 
 #: Words of a wide fingerprint.
-WIDE = 4
+WIDE = 8
 #: A pair at Jaccard similarity s is compared with a probability of 1 - (1 - s**ROWS)**BANDS, in a table of any size:
 #: 0.9999 at 0.8, and more above it.  Other similarities get as many bands as they need for the same.
 ROWS, BANDS = 5, 24
-#: Most sets of a group that one cell compares at once, and the shingles taken at a time.
-SET_CELL_ROWS, SET_COLUMNS = 1024, 8192
+#: Most sets, and most bytes of sets, that one cell verifies; the shingles taken at a time.
+SET_CELL_ROWS, SET_CELL_BYTES, SET_COLUMNS = 1024, 8 << 20, 8192
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Bits that differ at a Jaccard similarity, on average: those of the angle between the two sets."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Differing bits that all but one in some ten thousand pairs of a Jaccard similarity stay within.
+
+    The angle between two sets gives the mean, times 1.25 for sets of a few
+    shingles, whose bits are ties more often; to that four standard deviations.
+    """
+    share = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share))))
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -231,19 +234,16 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(g.encode(), SEED) for g in grams), np.uint64, len(grams))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes | None:
-    """64 * WIDE bits over the distinct shingles of a text; None where it has no word."""
-    h = shingles(text, shingle)
-    if not len(h):
-        return None
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """64 * WIDE bits: the majority of each bit over the hashes of a set."""
     votes = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        own = h[at : at + (1 << 15)]
+    for at in range(0, len(h), 1 << 12):
+        own = h[at : at + (1 << 12)]
         mixed = np.stack([own * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & int(ONES)) for k in range(WIDE)], axis=1)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
         bits = np.unpackbits(np.ascontiguousarray(mixed).view(np.uint8).reshape(len(own), 8 * WIDE), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
+        votes += bits.sum(axis=0, dtype=np.int32)
     return np.packbits(2 * votes > len(h), bitorder="little").tobytes()
 
 
@@ -264,11 +264,8 @@ def band_keys(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similar(sets: list[np.ndarray], chunk: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs whose Jaccard similarity is at least the given one; of two chunks, only pairs across them."""
-    cross = chunk.min() != chunk.max()
-    left = np.flatnonzero(chunk == chunk.min()) if cross else np.arange(len(sets))
-    right = np.flatnonzero(chunk != chunk.min()) if cross else left
+def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs (one of left, another of right) whose Jaccard similarity is at least the given one."""
     sizes = np.array([len(s) for s in sets])
     _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -276,74 +273,121 @@ def similar(sets: list[np.ndarray], chunk: np.ndarray, similarity: float) -> tup
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(left), len(right)))
+    both = np.zeros((len(left), len(right)), np.float32)  # exact: counts below 2**24
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, SET_COLUMNS):
         a, b = np.searchsorted(column, [at, at + SET_COLUMNS])
         has = np.zeros((len(sets), int(column[b - 1]) - at + 1), np.float32)
         has[row[a:b], column[a:b] - at] = 1
         both += has[left] @ has[right].T
-    near = both / (sizes[left][:, None] + sizes[right] - both) >= similarity
-    i, j = np.nonzero(near if cross else np.triu(near, 1))
-    return left[i], right[j]
+    near = both >= similarity * (sizes[left][:, None] + sizes[right] - both.astype(np.float64)) - 1e-9
+    i, j = np.nonzero(near)
+    apart = left[i] != right[j]
+    return left[i[apart]], right[j[apart]]
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+@scratched
+def near_groups(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document with an id and a word, for similarities far below a few bits of 64.
 
     Two documents are linked where the Jaccard similarity of their sets of
     shingles is the given one or more; shingles count as equal where their
-    64-bit hashes are.  Pairs are compared where one of the bands agrees, each
-    the least shingles in ROWS orders: a share that depends on the similarity
-    alone, not on the number of documents (see BANDS).  Documents of one set
-    are one node.  Groups return a forest of their links, never all pairs.
+    64-bit hashes are.  Documents of one set are one node.  Three steps:
+
+    * Candidates: nodes that agree in a band, each the least shingles in ROWS
+      orders, and whose wide fingerprints the bit-sliced comparison finds within
+      radius_for: both shares depend on the similarity alone, not on the number
+      of documents.  Groups return forests, whose components are clusters.
+    * Verification: the sets of a cluster travel once, in chunks of bounded
+      rows and bytes that all hold the cluster's pivot.  All pairs of a chunk
+      are verified on the whole sets.
+    * Only sets that no chunk has joined to the pivot meet the other chunks, so
+      a tight cluster of any size costs one pass over its sets.
+
+    Repeated rows and ties are one node; null and empty texts, and rows
+    without an id, are no part of it; an empty table gives an empty one.
     """
-    scratch = Scratch(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     factors = np.random.default_rng(1000).integers(0, 1 << 63, (bands_for(similarity), ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    radius = radius_for(similarity, 64 * WIDE)
 
     def own_of(h: np.ndarray) -> int:
         return xxhash.xxh64_intdigest(np.sort(h).astype("<u8").tobytes(), SEED) - (1 << 63)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(i, own_of(h), band_keys(h, factors)) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if len(h := shingles(t, shingle))]
-            yield pd.DataFrame(made, columns=["doc_id", "own", "keys"])
+            made = [(i, own_of(h), 8 * len(h), wide_fingerprint(h), band_keys(h, factors)) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if len(h := shingles(t, shingle))]
+            yield pd.DataFrame(made, columns=["doc_id", "own", "bytes", "fp", "keys"])
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(own, np.sort(h).astype("<u8").tobytes()) for own, t in zip(batch["own"], batch["text"], strict=True) if own_of(h := shingles(t, shingle)) == own]
-            yield pd.DataFrame(made, columns=["own", "set"])
+            made = [(c, own, np.sort(h).astype("<u8").tobytes()) for c, own, t in zip(batch["cluster"], batch["own"], batch["text"], strict=True) if own_of(h := shingles(t, shingle)) == own]
+            yield pd.DataFrame(made, columns=["cluster", "own", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.table(texts.mapInPandas(run, "doc_id long, own long, keys array<long>"), "bands")
-    nodes = scratch.table(rows.groupBy("own").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
-    dealt = nodes.select("own", "rep", F.explode("keys").alias("key"))
+    rows = scratch.table(texts.mapInPandas(run, "doc_id long, own long, bytes long, fp binary, keys array<long>"), "bands")
+    nodes = scratch.table(rows.groupBy("own").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bytes", "fp", "keys")]), "nodes")
+    dealt = nodes.select("own", F.explode("keys").alias("key"))
     # groups of the same members are compared once
     members = [F.bit_xor(F.xxhash64(F.lit(k), "own")).alias(f"m{k}") for k in (1, 2)]
-    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
-    groups = groups.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key").repartition(partitions(docs.sparkSession))
-    cells = scratch.table(pair_cells(dealt.join(groups, "key"), "key", "own", SET_CELL_ROWS), "cells")
-    # only documents of a group have their sets made and moved
-    asked = cells.select("own", F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.table(texts.join(asked, "doc_id").select("own", "text").mapInPandas(sets_of, "own long, set binary"), "sets")
-
-    def work(found: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for g in found:
-            own = g["own"].to_numpy()
-            i, j = similar([np.frombuffer(s, "<u8") for s in g["set"]], g["chunk"].to_numpy(), similarity)
-            a, b = _thin(own[i], own[j])
-            out_a.append(a), out_b.append(b)
-        yield pd.DataFrame(dict(zip("ab", _thin(np.concatenate(out_a), np.concatenate(out_b)), strict=True)))
-
-    links = by_cell(cells.select("key", "lo", "hi", "chunk", "own").join(sets, "own"), "key", work, "a long, b long")
+    groups = dealt.groupBy("key").agg(F.count("*").alias("rows"), *members).where("rows > 1")
+    groups = groups.groupBy("rows", "m1", "m2").agg(F.min("key").alias("key")).select("key").repartition(n)
+    cells = scratch.table(pair_cells(dealt.join(groups, "key"), "key", "own", CELL_ROWS), "cells")
+
+    def compare(found: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = [(g["own"].to_numpy(), np.frombuffer(b"".join(g["fp"]), "<u8").reshape(len(g), WIDE), g["chunk"].to_numpy()) for g in found]
+        yield pd.DataFrame(dict(zip("ab", links_within(made, radius), strict=True)))
+
+    wide = by_cell(cells.join(nodes.select("own", "fp"), "own"), "key", compare, "a long, b long")
+    clusters = connected_components(wide, "a", "b", scratch).withColumnRenamed("component", "cluster")
+    inside = scratch.table(nodes.join(clusters, nodes.own == clusters.node).select("cluster", "own", "rep", "bytes"), "inside")
+    sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(SET_CELL_ROWS)), F.ceil(F.sum("bytes") / F.lit(SET_CELL_BYTES))).cast("int").alias("chunks"))
+    # only documents of a cluster have their sets made and moved
+    asked = inside.select("cluster", "own", F.col("rep").alias("doc_id"))
+    sets = texts.join(asked, "doc_id").select("cluster", "own", "text").mapInPandas(sets_of, "cluster long, own long, set binary")
+    # rows that share a doc_id may make a set twice
+    sets = scratch.table(sets.join(sizes.repartition(n), "cluster").withColumn("chunk", F.pmod(F.xxhash64("own"), F.col("chunks")).cast("int")), "sets")
+
+    def verify(key: list[str], cross: bool):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for found in whole_runs(batches, key):
+                out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for g in found:
+                    g = g.drop_duplicates(["own", "side"] if cross else "own")
+                    if len(g) < 2:
+                        continue
+                    own, left = g["own"].to_numpy(), g["side"].to_numpy() == 0
+                    i, j = similar([np.frombuffer(s, "<u8") for s in g["set"]], np.flatnonzero(left), np.flatnonzero(~left if cross else left), similarity)
+                    a, b = _thin(own[i], own[j])
+                    out_a.append(a), out_b.append(b)
+                yield pd.DataFrame(dict(zip("ab", _thin(np.concatenate(out_a), np.concatenate(out_b)), strict=True)))
+
+        return work
+
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    pivot = F.col("own") == F.col("cluster")  # a cluster's name is its least node
+    once = sets.withColumn("chunk", F.explode(F.when(pivot, every).otherwise(F.array("chunk")))).select("cluster", "chunk", "own", F.lit(0).alias("side"), "set")
+    keys = ["cluster", "chunk"]
+    links = scratch.table(once.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(verify(keys, False), "a long, b long"), "verified")
+    large = sets.where("chunks > 1")
+    if not large.isEmpty():
+        joined = connected_components(links, "a", "b", scratch).select("node", F.col("component").alias("part"))
+        parts = inside.select("cluster", "own").join(joined, F.col("own") == F.col("node"), "left").select("cluster", "own", F.coalesce("part", "own").alias("part"))
+        of_pivot = parts.where(pivot).select("cluster", F.col("part").alias("main")).repartition(n)
+        left_out = scratch.table(parts.join(of_pivot, "cluster").where("part <> main").select("own"), "left-out")
+        alone = large.join(left_out, "own", "left_semi")
+        many = alone.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(SET_CELL_ROWS)), F.ceil(F.sum(F.length("set")) / F.lit(SET_CELL_BYTES))).cast("int").alias("others")).repartition(n)
+        alone = alone.join(many, "cluster").withColumn("other", F.pmod(F.xxhash64(F.lit(7), "own"), F.col("others")).cast("int")).withColumn("chunk", F.explode(every))
+        against = large.join(many, "cluster").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        keys = ["cluster", "chunk", "other"]
+        both = alone.select(*keys, "own", F.lit(0).alias("side"), "set").unionByName(against.select(*keys, "own", F.lit(1).alias("side"), "set"))
+        cross = both.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(verify(keys, True), "a long, b long")
+        links = scratch.table(links.unionByName(cross), "all-links")
     found = connected_components(links, "a", "b", scratch)
     known = nodes.join(found, nodes.own == found.node, "left").select("own", "rep", F.coalesce("component", "own").alias("component"))
     known = scratch.table(known, "members")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "component").select("own", "component_id")
-    out = write_and_read(rows.select("doc_id", "own").join(known, "own").select("doc_id", "component_id"), new_path(docs.sparkSession, "near"))
-    scratch.clear()
-    return out
+    return write_and_read(rows.select("doc_id", "own").join(known, "own").select("doc_id", "component_id"), new_path(docs.sparkSession, "near"))
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

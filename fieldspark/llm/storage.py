@@ -9,6 +9,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,7 @@ class Scratch:
     def bucketed(self, df: DataFrame, buckets: int, key: str) -> DataFrame:
         """Writes df as a warehouse table bucketed by key, so that later work by key moves nothing."""
         name = f"llm_{uuid.uuid4().hex}"
+        shared_dir(self.spark)  # a cluster names its shared folders; its warehouse is one of them
         self.tables.append(name)
         df.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
         return self.spark.table(name)
@@ -71,6 +74,20 @@ class Scratch:
         release_shuffles(self.spark)
 
 
+def scratched(operator: Callable) -> Callable:
+    """operator(scratch, table, ...) as operator(table, ...): its scratch is cleared however it ends."""
+
+    @wraps(operator)
+    def run(table: DataFrame, *args, **named):
+        scratch = Scratch(table.sparkSession)
+        try:
+            return operator(scratch, table, *args, **named)
+        finally:
+            scratch.clear()
+
+    return run
+
+
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -78,7 +95,11 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
+    """Lets Spark's cleaner drop the shuffle files of plans that are no longer referenced.
+
+    The cleaner follows the driver's garbage collector, which has little to do
+    while executors work: a large shuffle would stay on their disks until it runs.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

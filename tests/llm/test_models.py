@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from cases import SF_DIR, frame, texts
+from cases import SF_DIR, all_links, components, frame, texts
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -185,14 +185,12 @@ def test_pipeline_stage_by_stage(spark):
         key = (t or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER))
         best[key] = max(best[key], i)
     assert set(rows["exact_dedup"]) == set(best.values())
-    # what the near-dedup drops differs from something kept by few bits; what it keeps is not near to anything kept
-    wide = {i: int.from_bytes(f, "little") for i, t in rows["exact_dedup"].items() if (f := simhash.wide_fingerprint(t, 5))}
-    kept, radius = rows["simhash_near_dedup"], simhash.radius_for(0.8, 256)
-    assert set(kept) <= set(rows["exact_dedup"])
-    for i in set(rows["exact_dedup"]) - set(kept):
-        assert any(j != i and (wide[i] ^ wide[j]).bit_count() <= radius for j in wide)
-    close = [(i, j) for i in kept for j in kept if i < j and i in wide and j in wide and (wide[i] ^ wide[j]).bit_count() <= radius // 2]
-    assert close == []
+    # of each group that similarities of 0.8 and more join, the smallest id stays
+    sets = {i: set(simhash.shingles(t, 5).tolist()) for i, t in rows["exact_dedup"].items()}
+    linked = all_links([(i, x) for i, x in sets.items() if x], lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    group = components(list(sets), linked)
+    kept = rows["simhash_near_dedup"]
+    assert linked and set(kept) == {i for i in sets if group[i] == i}
     assert set(rows["secret_scan"]) == set(kept)
     assert any("[SECRET]" in (t or "") for t in rows["secret_scan"].values()) or rows["secret_scan"] == kept
     out = packing.pack(before, tokenizer("byte_bpe_50k.json"), 1).collect()
