@@ -4,7 +4,7 @@ The index is a Parquet table bucketed and sorted by digest, one row for each
 text ever kept.  A batch is first reduced to one row for each of its digests
 (partial sums before the shuffle, so a text that makes up a third of all rows
 costs one row for each task), then reduced by a sort-merge anti-join against
-the index; what is new is appended.
+the index; what is new is appended, and what stays is read from the index.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch, new_path, partitions, write_and_read
+from .storage import Scratch, delete_path, new_path, partitions, scratched, shared_dir, small_side, write_and_read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,84 +29,114 @@ def digest_of(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The persistent index.  A later session opens it again by the same name, buckets and location.
+    """The persistent index: digest, keep_id, batch.  A later session opens it again by the same name, buckets and location.
 
     The number of buckets is fixed when the index is made: choose it for the
     size the index will reach (a bucket should stay below about 1 GB).
+    Each append adds a sorted file to each bucket, and reads of more than one
+    file sort again: ``compact`` puts them together.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, location: str | None = None):
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or partitions(spark)
-        where = f"LOCATION '{location}'" if location else ""
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {where}"
+        self._create(self.name, location or f"{shared_dir(spark)}/{self.name}")
+
+    def _create(self, name: str, location: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'"
         )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def new_of(self, batch: DataFrame) -> DataFrame:
-        """Rows of batch (digest, ...) whose digest the index lacks: a sort-merge anti-join by buckets."""
-        return batch.join(self.table().hint("merge"), "digest", "left_anti")
+    def new_of(self, groups: DataFrame) -> DataFrame:
+        """Rows of groups (digest, ...) whose digest the index lacks: a sort-merge anti-join by buckets."""
+        return groups.join(self.table().hint("merge"), "digest", "left_anti")
+
+    def append(self, new: DataFrame, batch: str) -> None:
+        """Adds rows (digest, keep_id) of a batch; dealt as the buckets are, so that each task writes one sorted file.
+
+        Spark commits the files of an append together; a run that dies before that adds nothing.
+        """
+        new.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.name)
+
+    def compact(self) -> None:
+        """One sorted file for each bucket again.  The old files go only when the new ones stand."""
+        fresh = f"{self.name}_{uuid.uuid4().hex[:8]}"
+        self._create(fresh, f"{shared_dir(self.spark)}/{fresh}")
+        self.table().repartition(self.buckets, "digest").write.insertInto(fresh)
+        old = self.name
+        place = self._place(old)
+        self.spark.sql(f"DROP TABLE {old}")
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {old}")
+        delete_path(self.spark, place)
 
-    def append(self, new: DataFrame) -> None:
-        """Adds rows (digest, keep_id); dealt as the buckets are, so that each task writes one sorted file."""
-        new.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.name)
+    def _place(self, name: str) -> str:
+        return next(r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {name}").collect() if r.col_name == "Location")
 
     def drop(self) -> None:
+        place = self._place(self.name)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, place)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@scratched
+def exact_dedup(scratch: Scratch, docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of the rows of equal text in docs, the largest doc_id stays, unless an
     earlier batch has put the text into the index: then keep_id is that
-    batch's and no row stays.  Null text equals empty text.  A null doc_id
-    never stays while its text has a row with an id; where all ids of a text
-    are null, keep_id is null and those rows stay.  Rows that repeat the
-    doc_id that stays all say kept; ``keep_first`` returns one of them.
+    batch's and no row stays.  keep_id is read from the index, to which the
+    new digests have been appended.  A batch with a name may be given again
+    after a failure at any point: what it has appended counts as its own, and
+    the answer is the same.
+
+    Null text equals empty text; very long texts are one digest like others.
+    A null doc_id never stays while its text has a row with an id; where all
+    ids of a text are null, keep_id is null and those rows stay.  Rows that
+    repeat the doc_id that stays all say kept; ``keep_first`` returns one of
+    them.  An empty table gives an empty one and appends nothing.
     """
     spark = docs.sparkSession
-    own = index or DigestIndex(spark)
-    scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
-    rows = scratch.table(rows, "digests")
-    batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    batch = scratch.table(batch, "batch")
-    new = scratch.table(own.new_of(batch), "new")
-    before = batch.join(new.select("digest"), "digest", "left_anti").select("digest", "group_size")
-    known = before.join(own.table(), "digest").select("digest", "keep_id", "group_size", F.lit(False).alias("fresh"))
-    groups = new.select("digest", "keep_id", "group_size", F.lit(True).alias("fresh"))
-    if index is not None:
-        groups = groups.unionByName(known)
-    groups = scratch.table(groups, "groups")
-    own.append(new)
-    out = rows.join(groups, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
-    out = write_and_read(out, new_path(spark, "exact"))
-    if index is None:
-        own.drop()
-    scratch.clear()
-    return out
-
-
-def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    own, batch = index or DigestIndex(spark), batch or uuid.uuid4().hex
+    try:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
+        rows = scratch.table(rows, "digests")
+        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        groups = scratch.table(groups, "groups")
+        own.append(scratch.table(own.new_of(groups), "new"), batch)
+        spark.catalog.refreshTable(own.name)
+        told = groups.drop("keep_id").join(own.table().hint("merge"), "digest")
+        told = scratch.table(told.select("digest", "keep_id", "group_size", (F.col("batch") == batch).alias("fresh")), "told")
+        out = rows.join(told, "digest").select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            F.col("digest").alias("text_sha256"),
+        )
+        return write_and_read(out, new_path(spark, "exact"))
+    finally:
+        if index is None:
+            own.drop()
+
+
+@scratched
+def keep_first(scratch: Scratch, docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """docs without the copies, all columns as they were; one row for each text."""
-    found = exact_dedup(docs, index, id_col, text_col).where("kept")
-    kept = found.select(F.col("doc_id").alias("__llm_id"), F.col("text_sha256").alias("__llm_digest")).distinct()
+    found = exact_dedup(docs, index, id_col, text_col, batch)
+    gone = scratch.table(found.where("NOT kept").select(F.col("doc_id").alias("__llm_id")), "gone")
+    named = found.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    if found.where("doc_id IS NULL").isEmpty() and named.where("count > 1").isEmpty():
+        # ids name rows: texts stay where they are unless the list of copies is long
+        out = docs.join(small_side(gone), F.col(id_col).cast("long") == F.col("__llm_id"), "left_anti")
+        return write_and_read(out, new_path(docs.sparkSession, "kept"))
+    kept = found.where("kept").select(F.col("doc_id").alias("__llm_id"), F.col("text_sha256").alias("__llm_digest")).distinct()
     keyed = docs.withColumn("__llm_sha", digest_of(F.col(text_col)))
     joined = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_sha") == F.col("__llm_digest")), "left_semi")
-    repeats = found.groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("__llm_twice"))
-    if repeats.isEmpty():  # no doc_id stands twice with the same text
-        return joined.drop("__llm_sha")
+    repeats = found.where("kept").groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("__llm_twice"))
     once = joined.join(repeats, F.col("__llm_sha") == F.col("__llm_twice"), "left_anti")
     twice = joined.join(repeats, F.col("__llm_sha") == F.col("__llm_twice"), "left_semi").dropDuplicates(["__llm_sha"])
-    return once.unionByName(twice).drop("__llm_sha")
+    return write_and_read(once.unionByName(twice).drop("__llm_sha"), new_path(docs.sparkSession, "kept"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cells import by_cell, forest, pair_cells, whole_runs
 from .components import connected_components
-from .storage import Scratch, new_path, partitions, scratched, write_and_read
+from .storage import Scratch, new_path, partitions, scratched, small_side, write_and_read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -210,6 +210,8 @@ WIDE = 8
 #: A pair at Jaccard similarity s is compared with a probability of 1 - (1 - s**ROWS)**BANDS, in a table of any size:
 #: 0.9999 at 0.8, and more above it.  Other similarities get as many bands as they need for the same.
 ROWS, BANDS = 5, 24
+#: Shingles below which a set's fingerprint says too little.
+FEW = 20
 #: Most sets, and most bytes of sets, that one cell verifies; the shingles taken at a time.
 SET_CELL_ROWS, SET_CELL_BYTES, SET_COLUMNS = 1024, 8 << 20, 8192
 
@@ -217,11 +219,12 @@ SET_CELL_ROWS, SET_CELL_BYTES, SET_COLUMNS = 1024, 8 << 20, 8192
 def radius_for(similarity: float, bits: int) -> int:
     """Differing bits that all but one in some ten thousand pairs of a Jaccard similarity stay within.
 
-    The angle between two sets gives the mean, times 1.25 for sets of a few
-    shingles, whose bits are ties more often; to that four standard deviations.
+    The angle between two sets gives the mean; to it four standard deviations
+    and two bits.  Holds for sets of FEW shingles and more; of fewer, ties move
+    the mean, and such sets are taken as candidates without the comparison.
     """
-    share = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share))))
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share)))) + 2
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -335,14 +338,17 @@ def near_groups(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_
 
     def compare(found: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = [(g["own"].to_numpy(), np.frombuffer(b"".join(g["fp"]), "<u8").reshape(len(g), WIDE), g["chunk"].to_numpy()) for g in found]
-        yield pd.DataFrame(dict(zip("ab", links_within(made, radius), strict=True)))
+        a, b = links_within(made, radius)
+        few = [g["own"].to_numpy()[g["bytes"].to_numpy() < 8 * FEW] for g in found]
+        out_a, out_b = np.concatenate([a, *[x[1:] for x in few]]), np.concatenate([b, *[np.repeat(x[:1], max(0, len(x) - 1)) for x in few]])
+        yield pd.DataFrame({"a": out_a, "b": out_b})
 
-    wide = by_cell(cells.join(nodes.select("own", "fp"), "own"), "key", compare, "a long, b long")
+    wide = by_cell(cells.join(nodes.select("own", "fp", "bytes"), "own"), "key", compare, "a long, b long")
     clusters = connected_components(wide, "a", "b", scratch).withColumnRenamed("component", "cluster")
     inside = scratch.table(nodes.join(clusters, nodes.own == clusters.node).select("cluster", "own", "rep", "bytes"), "inside")
     sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(SET_CELL_ROWS)), F.ceil(F.sum("bytes") / F.lit(SET_CELL_BYTES))).cast("int").alias("chunks"))
     # only documents of a cluster have their sets made and moved
-    asked = inside.select("cluster", "own", F.col("rep").alias("doc_id"))
+    asked = small_side(inside.select("cluster", "own", F.col("rep").alias("doc_id")))
     sets = texts.join(asked, "doc_id").select("cluster", "own", "text").mapInPandas(sets_of, "cluster long, own long, set binary")
     # rows that share a doc_id may make a set twice
     sets = scratch.table(sets.join(sizes.repartition(n), "cluster").withColumn("chunk", F.pmod(F.xxhash64("own"), F.col("chunks")).cast("int")), "sets")
@@ -396,4 +402,4 @@ def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Documents without an id or a word stay.
     """
     gone = near_groups(docs, id_col, text_col, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__llm_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__llm_id"), "left_anti")
+    return docs.join(small_side(gone), F.col(id_col).cast("long") == F.col("__llm_id"), "left_anti")

@@ -13,6 +13,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few longs that are sent to every executor at most, some 50 MB; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,6 +98,11 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def small_side(table: DataFrame) -> DataFrame:
+    """A written table of a few longs, marked for broadcast only where its rows have been counted and are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are no longer referenced.
 

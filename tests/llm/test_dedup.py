@@ -52,6 +52,22 @@ def test_index_persists_and_grows(spark):
         assert index.table().count() == 4
         plan = again.new_of(first.select(exact_dedup.F.col("text_sha256").alias("digest")))._jdf.queryExecution().toString()
         assert "SortMergeJoin" in plan
+        again.compact()
+        assert again.table().count() == 4
+    finally:
+        index.drop()
+
+
+def test_a_batch_given_again_has_the_same_answer(spark):
+    """As after a run that has died behind its append."""
+    index = exact_dedup.DigestIndex(spark, "digest_index_of_reruns", 4)
+    try:
+        exact_dedup.exact_dedup(frame(spark, [(1, "a"), (2, "b")]), index, batch="one")
+        rows = frame(spark, [(3, "A"), (4, "c"), (5, "C"), (6, None)])
+        runs = [sorted(map(tuple, exact_dedup.exact_dedup(rows, index, batch="two").collect())) for _ in range(2)]
+        assert runs[0] == runs[1] and [r[0] for r in runs[0] if r[3]] == [5, 6]
+        assert index.table().count() == 4
+        assert [r.doc_id for r in exact_dedup.keep_first(rows, index, batch="two").orderBy("doc_id").collect()] == [5, 6]
     finally:
         index.drop()
 
