@@ -107,25 +107,67 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r.predicted == r.toxic for r in own]) >= 0.95
 
 
-def test_models_sum_to_one():
-    """Of one class: the probabilities of all words after a word."""
-    import pandas as pd
-
-    rng = np.random.default_rng(0)
-    v, w = rng.integers(1, 40, 400), rng.integers(1, 40, 400)
-    counts = pd.DataFrame({"v": v, "w": w}).value_counts().reset_index(name="n1")
-    counts["n0"] = 0
-    pairs = pd.DataFrame({"bucket": toxicity.pair_bucket(counts["v"].to_numpy(), counts["w"].to_numpy()), "n0": 0, "n1": counts["n1"]}).groupby("bucket", as_index=False).sum()
-    counts["d0"], counts["d1"] = 0.0, np.minimum(counts["n1"], toxicity.DISCOUNT)
-    before = counts.groupby("v", as_index=False)[["n0", "n1", "d0", "d1"]].sum()
-    after = counts.assign(d0=0, d1=1).groupby("w", as_index=False)[["d0", "d1"]].sum()
-    m = toxicity.KneserNey(pairs, before, after)
-    assert abs(m.low[1].sum() - 1) < 1e-3
-    seen, per = m.seen[1]
-    for word in (3, 17):
-        own = counts[counts["v"] == word]
-        counted = (seen[toxicity.pair_bucket(own["v"].to_numpy(), own["w"].to_numpy())] * per[word]).sum()
-        assert abs(counted + m.weight[1][word] - 1) < 1e-3
+def labelled_texts():
+    """Texts of a few words; one pair of ordinary words stands together in toxic texts only."""
+    rng, rows, labels = np.random.default_rng(5), [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        words = [f"word{chr(97 + x)}" for x in rng.integers(0, 20, 30)] + [f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}"]
+        for at in rng.choice(28, 3, replace=False):
+            words[at : at + 2] = ["blue", "goat"] if toxic and i % 2 else ["goat", "blue"]
+        if toxic and not i % 2:
+            words[5] = "scum"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def slow_models(rows, labels):
+    """For each of STRENGTHS: the log ratio of every word of a text, by the formulas and without any table of keys."""
+    of = lambda t: re.findall(r"[a-z]+", t)
+    own = {y: list(dict.fromkeys(t for (i, t), (_, label) in zip(rows, labels, strict=True) if label == y and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3))) for y in (0, 1)}
+
+    def firsts(t):
+        words, pairs, singles = ["", "", *of(t)], {}, {}
+        for x, v, w in zip(words, words[1:], words[2:], strict=False):
+            pairs.setdefault((v, w), x)
+            singles.setdefault(w, v)
+        return pairs.items(), singles.items()
+
+    n = {y: Counter(p for p, _ in {f for t in own[y] for f in firsts(t)[0]}) for y in (0, 1)}
+    u = {y: Counter(w for w, _ in {f for t in own[y] for f in firsts(t)[1]}) for y in (0, 1)}
+    everywhere = Counter(w for _, t in rows for w in set(of(t)))
+    share = {w: k / sum(everywhere.values()) for w, k in everywhere.items()}
+    base = [np.mean([toxicity.discount([sum(c == k for c in table[y].values()) for k in (1, 2, 3, 4)]) for y in (0, 1)]) for table in (n, u)]
+    found = []
+    for s, t in toxicity.STRENGTHS:
+        d, e = s * base[0], t * base[1]
+
+        def likelihood(y, v, w, d=d, e=e):
+            total = sum(u[y].values())
+            low = max(u[y][w] - e, 0) / total + sum(min(k, e) for k in u[y].values()) / total * share[w]
+            after = [k for (x, _), k in n[y].items() if x == v]
+            if not after:
+                return low
+            return max(n[y][v, w] - d, 0) / sum(after) + sum(min(k, d) for k in after) / sum(after) * low
+
+        found.append(lambda text, p=likelihood: [np.log(p(1, v, w) / p(0, v, w)) for v, w in zip(["", *of(text)], of(text), strict=False)])
+    return found
+
+
+def test_models_against_a_slow_one(spark):
+    rows, labels = labelled_texts()
+    judge = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    asked = [t for _, t in rows[:40]]
+    got = [judge.model.ratios(toxicity.word_keys(t)) for t in asked]
+    assert any(all(np.allclose(g, slow(t), atol=1e-9) for g, t in zip(got, asked, strict=True)) for slow in slow_models(rows, labels))
+    assert judge.margin("worda blue goat wordb") > judge.margin("worda goat blue wordb")
+    assert judge.margin("worda scum wordb") > judge.margin("worda wordc wordb") and judge.margin("") == judge.margin(None) == 0
+
+
+def test_power_means():
+    r = np.array([-1.0, 0.5, 2.0])
+    assert np.allclose(toxicity.power_means(r), [r.mean(), *[np.log(np.exp(p * r).mean()) / p for p in (1, 2, 4)]])
 
 
 # -- sharding
