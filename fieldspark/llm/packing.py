@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_co
             doc_ids = batch.column("doc_id").to_pylist()
             for first, beyond, e in encoder.encode(batch.column("text")):
                 # the end id stays with the last sentence
-                sentences = e.chunk_ends[e.sentence & (e.chunk_ends > 0) & ~np.isin(e.chunk_ends, e.ends)]
+                sentences = e.chunk_ends[e.sentences() & (e.chunk_ends > 0) & ~np.isin(e.chunk_ends, e.ends)]
                 sentences = sentences + np.searchsorted(e.ends, sentences)
                 ends = e.ends + np.arange(1, len(e.ends) + 1)
                 ids = np.insert(e.ids, e.ends, np.uint32(end_id))

@@ -2,7 +2,7 @@
 
 A store is a folder of Parquet tables that hold binary columns:
 
-* ``chunks``: digest, n, crc, payload.  A rolling hash over the last WINDOW ids
+* ``chunks``: digest, n, payload.  A rolling hash over the last WINDOW ids
   cuts each document's ids into chunks; a chunk that occurs in many places is
   stored once, under the SHA-256 of its payload (ids as little-endian
   unsigned integers of 16 bits where all fit, of 32 otherwise; the payload's
@@ -28,35 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, new_path, partitions, release_shuffles, write_and_read
+from .storage import Scratch, new_path, partitions, release_shuffles, scratched, write_and_read
 from .tokens import ChunkEncoder
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 1024, 8
 #: Parts, by digest, in which chunks are shuffled, so that the payloads of one part only lie in shuffle files at a time.
 ROUNDS = 3
-CHUNK = {"digest": pa.binary(), "n": pa.int32(), "crc": pa.int64(), "payload": pa.binary()}
+CHUNK = {"digest": pa.binary(), "n": pa.int32(), "payload": pa.binary()}
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash of the last WINDOW ids has CUT_BITS zeros."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def cut(ids: np.ndarray, doc_ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Ends of the chunks of documents that follow one another, and how many chunks lie before each document's end.
+
+    A chunk ends where the rolling hash of the last WINDOW ids has CUT_BITS
+    zeros, LEAST to MOST ids after the last, and at the document's end.  As
+    LEAST is more than WINDOW, no window that decides reaches into the
+    document before.
+    """
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
     total = np.cumsum(h * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64)
     rolled = total[WINDOW:] - total[:-WINDOW]
     rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    hits = (np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + WINDOW + 1).tolist()
-    ends, last = [], 0
-    for e in [*hits, n]:
+    hits = np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + WINDOW + 1
+    stops = np.union1d(hits, doc_ends).tolist()
+    final, ends, upto, last = iter(doc_ends.tolist()), [], [], 0
+    doc_end = next(final, None)
+    for e in stops:
         while e - last > MOST:
             last += MOST
             ends.append(last)
-        if e - last >= LEAST or e == n and e > last:
+        if e - last >= LEAST or e == doc_end:
             ends.append(e)
             last = e
-    return ends
+        if e == doc_end:
+            upto.append(len(ends))
+            doc_end = next(final, None)
+    return ends, upto
 
 
 def to_payload(ids: np.ndarray) -> bytes:
@@ -71,22 +79,43 @@ def node_of(doc_id: int | None, n_tokens: int, digests: list[bytes]) -> bytes:
     return hashlib.sha256(f"{doc_id}/{n_tokens}/".encode() + b"".join(digests)).digest()
 
 
+class Merkle:
+    """The root of a binary Merkle tree over nodes that come one by one; an odd node moves up as it is."""
+
+    def __init__(self):
+        self.tops: list[tuple[int, bytes]] = []  # roots of full trees, by falling height
+
+    def add(self, node: bytes) -> None:
+        height, own = 0, hashlib.sha256(b"\0" + node).digest()
+        while self.tops and self.tops[-1][0] == height:
+            own = hashlib.sha256(b"\1" + self.tops.pop()[1] + own).digest()
+            height += 1
+        self.tops.append((height, own))
+
+    def root(self) -> bytes:
+        if not self.tops:
+            return hashlib.sha256(b"").digest()
+        own = self.tops[-1][1]
+        for _, left in reversed(self.tops[:-1]):
+            own = hashlib.sha256(b"\1" + left + own).digest()
+        return own
+
+
 def merkle(nodes: list[bytes]) -> bytes:
-    """The root of a binary Merkle tree; an odd node moves up as it is."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in nodes] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for node in nodes:
+        tree.add(node)
+    return tree.root()
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+@scratched
+def write_store(scratch: Scratch, docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """Encodes whole texts, appends end_id to each, and writes a store; returns its Merkle root.
 
     Null text is empty.  Rows are stored in ascending doc_id, null first;
     rows of one doc_id in order of their content.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,24 +124,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             doc_ids = batch.column("doc_id").to_pylist()
             for first, beyond, e in encoder.encode(batch.column("text")):
                 names = doc_ids[first:beyond]
-                many, nodes, digests, upto, fresh, fresh_upto = [], [], [], [0], [], [0]
-                for doc_id, text_ids in zip(names, e.each(), strict=True):
-                    ids, own, last = np.append(text_ids, np.uint32(end_id)), [], 0
-                    for end in cut(ids):
-                        payload = to_payload(ids[last:end])
-                        d = hashlib.sha256(payload).digest()
-                        own.append(d)
-                        if d not in seen:  # a chunk that this task has written is not written again
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            seen.add(d)
-                            fresh.append((d, end - last, zlib.crc32(ids[last:end].astype("<u4", copy=False).tobytes()), payload))
-                        last = end
-                    many.append(len(ids))
-                    nodes.append(node_of(doc_id, len(ids), own))
-                    digests += own
-                    upto.append(len(digests))
-                    fresh_upto.append(len(fresh))
+                ids, doc_ends = np.insert(e.ids, e.ends, np.uint32(end_id)), e.ends + np.arange(1, len(e.ends) + 1)
+                many = np.diff(doc_ends, prepend=0).tolist()
+                ends, upto = cut(ids, doc_ends)
+                short = int(ids.max(initial=0)) < 65536
+                raw = ids.astype("<u2").tobytes() if short else b""
+                digests, fresh, places, last = [], [], [], 0
+                for end in ends:
+                    payload = b"\x02" + raw[2 * last : 2 * end] if short else to_payload(ids[last:end])
+                    d = hashlib.sha256(payload).digest()
+                    digests.append(d)
+                    if d not in seen:  # a chunk that this task has written is not written again
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(d)
+                        places.append(len(digests))
+                        fresh.append((d, end - last, payload))
+                    last = end
+                upto = [0, *upto]
+                nodes = [node_of(i, n, digests[a:b]) for i, n, a, b in zip(names, many, upto[:-1], upto[1:], strict=True)]
+                fresh_upto = np.searchsorted(places, upto, side="right")
                 columns = list(zip(*fresh, strict=True)) or [()] * len(CHUNK)
                 items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, CHUNK.values(), strict=True)], names=list(CHUNK))
                 yield pa.RecordBatch.from_arrays(
@@ -126,7 +157,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
                     names=["doc_id", "n_tokens", "chunks", "node", "fresh"],
                 )
 
-    schema = "doc_id long, n_tokens long, chunks array<binary>, node binary, fresh array<struct<digest: binary, n: int, crc: long, payload: binary>>"
+    schema = "doc_id long, n_tokens long, chunks array<binary>, node binary, fresh array<struct<digest: binary, n: int, payload: binary>>"
     encoded = scratch.table(rows.mapInArrow(encode, schema), "encoded")
     found = encoded.select(F.explode("fresh").alias("c")).select("c.*")
     for k in range(ROUNDS):
@@ -152,16 +183,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     root = merkle([bytes(r.node) for r in top])
     total = spark.createDataFrame([(-1, sum(r.rows for r in top), sum(r.tokens for r in top), 0, bytearray(root))], "part int, rows long, tokens long, base long, node binary")
     nodes.unionByName(total).coalesce(1).write.parquet(f"{path}/manifest")
-    scratch.clear()
     return root
 
 
 def _part_nodes(recipes: DataFrame) -> DataFrame:
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["start", "node"])
-        return pd.DataFrame({"part": batch["part"].iloc[:1], "node": [merkle(list(batch["node"]))]})
+    """The Merkle node of each part: sorted rows pass by, and only the tops of the tree are held."""
 
-    return recipes.select("part", "start", "node").groupBy("part").applyInPandas(fold, "part int, node binary")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, tree = None, None
+        for batch in batches:
+            for own, node in zip(batch["part"].tolist(), batch["node"], strict=True):
+                if own != part:
+                    if tree:
+                        yield pd.DataFrame({"part": [part], "node": [tree.root()]})
+                    part, tree = own, Merkle()
+                tree.add(bytes(node))
+        if tree:
+            yield pd.DataFrame({"part": [part], "node": [tree.root()]})
+
+    ordered = recipes.select("part", "start", "node").repartition(partitions(recipes.sparkSession), "part").sortWithinPartitions("part", "start", "node")
+    return ordered.mapInPandas(fold, "part int, node binary")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> bytes:

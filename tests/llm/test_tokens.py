@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -96,7 +97,7 @@ def test_damage_is_found(spark):
     token_store.write_store(frame(spark, [(1, "some text to keep"), (2, "and more")]), path, WORDS, 2)
     for part in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{part}").write.parquet(f"{bad}/{part}")
-    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "n", "crc", "unhex(concat(hex(payload), '0000')) AS payload").write.parquet(f"{bad}/chunks")
+    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "n", "unhex(concat(hex(payload), '0000')) AS payload").write.parquet(f"{bad}/chunks")
     with pytest.raises(Exception, match="is damaged"):
         token_store.read_documents(spark, bad).collect()
     worse = new_path(spark, "worse")
@@ -111,14 +112,27 @@ def test_checksums_combine(a, b):
     assert token_store.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-@given(st.lists(st.integers(0, 70_000), max_size=6000), st.integers(0, 5000))
+@given(st.lists(st.lists(st.integers(0, 70_000), min_size=1, max_size=3000), min_size=1, max_size=4))
 @settings(max_examples=30, deadline=None)
-def test_cuts_cover_and_follow_content(ids, shift):
-    x = np.array(ids, np.uint32)
-    ends = token_store.cut(x)
-    assert (ends or [0])[-1] == len(x)
+def test_cuts_cover_and_follow_content(docs):
+    x, doc_ends = np.array(sum(docs, []), np.uint32), np.cumsum([len(d) for d in docs])
+    ends, upto = token_store.cut(x, doc_ends)
+    assert [ends[k - 1] for k in upto] == doc_ends.tolist() and upto[-1] == len(ends)
     sizes = np.diff([0, *ends])
     assert (sizes > 0).all() and (sizes <= token_store.MOST).all()
+    # a document's chunks are its own: the same without its neighbours
+    for k, d in enumerate(docs):
+        alone, _ = token_store.cut(np.array(d, np.uint32), np.array([len(d)]))
+        start = 0 if k == 0 else int(doc_ends[k - 1])
+        assert [start + e for e in alone] == ends[0 if k == 0 else upto[k - 1] : upto[k]]
+
+
+@given(st.lists(st.binary(max_size=3), max_size=40))
+def test_tree_of_nodes_that_come_one_by_one(nodes):
+    level = [hashlib.sha256(b"\0" + x).digest() for x in nodes] or [hashlib.sha256(b"").digest()]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert token_store.merkle(nodes) == level[0]
 
 
 # -- pieces
