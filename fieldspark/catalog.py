@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import constraints, equations, grids, numerics, ordered  # noqa: F401
+from .plans import constraints, equations, files, grids, numerics, ordered, profiles  # noqa: F401
 from .plans.tables import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "prj03_insitu_equations"

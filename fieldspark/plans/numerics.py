@@ -69,13 +69,13 @@ def prj08_sounder(spark, sf_dir):
     return _each(observations(spark, sf_dir), [(3, c("temperature") - (300 - 0.0065 * c("z")), 2), (4, air.widen(ratio) - 5, 0.8)], "event_id")
 
 
-@registered(f"""WITH {SAMPLES}, {_NODES}, c AS (SELECT ix, iy, 1.2::DOUBLE - 0.01::DOUBLE * ix - 0.02::DOUBLE * iy AS c FROM nx, ny), f AS (
+@registered(f"""WITH {SAMPLES}, {_NODES}, c AS (SELECT ix, iy, 1.2::DOUBLE * exp(-0.013::DOUBLE * ix - 0.021::DOUBLE * iy) AS c FROM nx, ny), f AS (
         SELECT point, sum(c * ({_B.format('(x - ix)')}) * ({_B.format('(y - iy)')})) AS density
         FROM samples JOIN c ON ix BETWEEN floor(x) - 1 AND floor(x) + 2 AND iy BETWEEN floor(y) - 1 AND floor(y) + 2 GROUP BY point)
     SELECT point, round(density, 4) + 0 AS density, round(value * density, 4) + 0 AS scaled FROM f JOIN samples USING (point)""")
 def prj16_density_scaling(spark, sf_dir):
     """Values times the background's density, from the spline nodes around each point."""
-    nodes = grid.mesh(spark, AXES).select("ix", "iy", (1.2 - 0.01 * F.col("ix") - 0.02 * F.col("iy")).alias("c"))
+    nodes = grid.mesh(spark, AXES).select("ix", "iy", (1.2 * F.exp(-0.013 * F.col("ix") - 0.021 * F.col("iy"))).alias("c"))
     met = grid.stencil(samples(spark, sf_dir), AXES).join(nodes, ["ix", "iy"])
     part = F.col("c") * spline.basis(F.col("delta_x")) * spline.basis(F.col("delta_y"))
     found = met.groupBy("point", "value").agg(F.sum(part).alias("density"))

@@ -39,7 +39,7 @@ def _numbers(*names: str, first: int = 1) -> Callable[[Fields], dict[str, Column
 class Layout:
     separator: str
     columns: Callable[[Fields], dict[str, Column]]
-    header_lines: int = 0
+    skip: str | None = None  # lines that hold this are none
 
 
 def _insitu(f: Fields) -> dict[str, Column]:
@@ -70,6 +70,11 @@ def _equations(f: Fields) -> dict[str, Column]:
     return {**out, "type": f(5).cast("int"), "second": f(6).cast("long"), **{n: f(7 + k).cast("double") for k, n in enumerate(WEIGHTS)}}
 
 
+def _coefficients(f: Fields) -> dict[str, Column]:
+    """An analysis written earlier is the next one's background: the fifth column."""
+    return {**{n: f(k).cast("int") for k, n in enumerate(("variable", "i", "j", "k"))}, "background": f(4).cast("double")}
+
+
 SPACES, COMMAS = r"\s+", r"\s*,\s*"
 LAYOUTS = {
     "insitu": Layout(SPACES, _insitu),
@@ -79,6 +84,10 @@ LAYOUTS = {
     "hgt": Layout(SPACES, _numbers("latitude", "longitude", "altitude", "slope_x", "slope_y", "x", "y", first=0)),
     "cen": Layout(SPACES, _centers),
     "equations": Layout(SPACES, _equations),
+    "background": Layout(SPACES, _timed("yyyy-MM-dd_HH:mm:ss", "latitude", "longitude", "altitude", "u", "v", "w", "temperature", "mixing_ratio", "dry_density", "reflectivity", "terrain")),
+    "coefficients": Layout(SPACES, _coefficients, skip="Variable"),
+    "terrain": Layout(COMMAS, _numbers("x", "y", "height", first=0)),
+    "sounding": Layout(SPACES, _numbers("z", "theta", "q", "u", "v", first=0)),
 }
 
 
@@ -87,6 +96,8 @@ def read_text(spark: SparkSession, path: str, kind: str, stream: bool = False) -
     layout = LAYOUTS[kind]
     lines = (spark.readStream if stream else spark.read).text(path)
     lines = lines.where(F.trim("value") != "").withColumn("f", F.split(F.trim("value"), layout.separator))
+    if layout.skip:
+        lines = lines.where(~F.col("value").contains(layout.skip))
     # [] beyond the end of a line is an error under ANSI rules: a short line fails
     made = layout.columns(lambda k: F.col("f")[k])
     return lines.select(*[c.alias(n) for n, c in made.items()])

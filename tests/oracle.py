@@ -20,13 +20,19 @@ def connected(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 3) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     return v
 
 
+def _same(p, q) -> bool:
+    return p == q or isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 1e-9 * max(1, abs(p))
+
+
 def rows(columns: list[str], data) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=repr)
+    # floats last: where they differ in the last digit, rows that agree in all else still meet
+    made = [tuple(_plain(r[i]) for i in order) for r in data]
+    return sorted(made, key=lambda t: (repr([x for x in t if not isinstance(x, float)]), repr(t)))
 
 
 def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str:
@@ -38,5 +44,5 @@ def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str:
     a, b = rows(df.columns, df.collect()), rows(names, told.fetchall())
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
-    far = [(x, y) for x, y in zip(a, b, strict=True) if x != y and not all(p == q or isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-3 * max(1, abs(p)) for p, q in zip(x, y, strict=True))]
+    far = [(x, y) for x, y in zip(a, b, strict=True) if not all(map(_same, x, y))]
     return f"{len(far)} rows differ: {far[:2]}" if far else ""
