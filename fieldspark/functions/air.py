@@ -87,3 +87,49 @@ def analysed(temperature: Column, ratio: Column, density: Column) -> dict[str, C
         "humidity": F.least(100 * vapor / full, F.lit(100.0)),
         "dewpoint": 237.3 * log_e / (17.2694 - log_e) + T0,
     }
+
+
+def departures(temperature: Column, ratio: Column, density: Column, altitude: Column, reference_pressure: Column, reference_energy: Column) -> dict[str, Column]:
+    """What the analysis says against the reference air (Pa, J/kg), its condensation level, and moisture no more than saturation allows."""
+    # fixed values
+    vapor = temperature * density * ratio / 1000 * 461.0 / 100.0
+    dry = temperature * density * 287.0 / 100.0
+    full = F.exp(-6096.9385 / temperature + 16.635794 - 2.711193e-2 * temperature + 1.673952e-5 * temperature * temperature + 2.433502 * F.log(temperature))
+    most = 622 * full / dry
+    energy = HEAT * temperature + 2.501e3 * ratio + GRAVITY * altitude
+    return {
+        "higher": dry + vapor - reference_pressure / 100, "energy": energy, "energy_above": energy - reference_energy, "lifted": 2840 / (3.5 * F.log(temperature) - F.log(vapor) - 4.805) + 55.0,
+        "saturated": most, "ratio": F.when(100 * vapor / full > 100, most).otherwise(ratio),
+    }
+
+
+def pressure_slope(temperature: Column, density: Column, ratio: Column, t_slope: Column, d_slope: Column, q_slope: Column) -> Column:
+    """A derivative of the analysis' pressure (hPa) along an axis, from those of temperature, density of dry air and mixing ratio."""
+    dry = (t_slope * density + d_slope * temperature) * 287.0 / 100
+    wet = (t_slope * density * ratio / 1000 + (d_slope * ratio + q_slope * density) * temperature / 1000) * 461.0 / 100
+    return dry + wet
+
+
+# fixed values of the formula library: exponents of dry air and of moist
+KAPPA, KAPPA_MOIST = 0.28537338, 0.00028
+
+
+def potential_temperature(temperature: Column, pressure: Column) -> Column:
+    return temperature * F.pow(1000 / pressure, KAPPA)
+
+
+def condensation_temperature(temperature: Column, dewpoint: Column) -> Column:
+    """NULL where the dew point is above the temperature."""
+    return F.when(dewpoint <= temperature, 1 / (1 / (dewpoint - 56.0) + F.log(temperature / dewpoint) / 800.0) + 56.0)
+
+
+def saturation_temperature(pressure: Column, ratio: Column) -> Column:
+    """At which air of a pressure is saturated with a mixing ratio."""
+    e = pressure * ratio / (1000 * EPSILON + ratio)
+    return T0 * ICE_A / (ICE_A - ICE_B + F.sqrt(ICE_B * ICE_B + 2 * ICE_A * F.log(E0 / e)))
+
+
+def equivalent_temperature(temperature: Column, dewpoint: Column, pressure: Column) -> Column:
+    w = mixing_ratio(saturation_pressure_log(dewpoint), pressure)
+    theta = temperature * F.pow(1000 / pressure, KAPPA * (1 - KAPPA_MOIST * w))
+    return theta * F.exp((3.376 / condensation_temperature(temperature, dewpoint) - 0.00254) * w * (1 + 0.00081 * w))

@@ -48,3 +48,22 @@ def doppler_weights(azimuth: Column, elevation: Column) -> tuple[Column, Column,
 def folded(velocity: Column, low: float, high: float) -> Column:
     """A velocity as a radar with this Nyquist interval shows it."""
     return F.pmod(velocity - low, F.lit(high - low)) + low
+
+
+def scaled(raw: Column, scale: Column, missing: int) -> Column:
+    """Stored 16-bit values in units; the flag of missing ones is NULL."""
+    return F.when(raw != missing, raw / scale)
+
+
+def earth_angles(roll: Column, pitch: Column, heading: Column, drift: Column, rotation: Column, tilt: Column) -> tuple[Column, Column]:
+    """Azimuth (0 to 360) and elevation of an airborne beam relative to the earth; a missing angle counts as 0.
+
+    The beam's unit vector in the aircraft's track frame, by the published
+    coordinate rotations, then turned by the track's direction.
+    """
+    r, p, h, d, t, a = (F.radians(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))) for x in (roll, pitch, heading, drift, rotation, tilt))
+    up, side, ahead = F.cos(t + r) * F.cos(a), F.sin(t + r) * F.cos(a), F.sin(a)
+    level, lifted = ahead * F.cos(p) - up * F.sin(p), up * F.cos(p) + ahead * F.sin(p)
+    x, y = side * F.cos(d) - level * F.sin(d), side * F.sin(d) + level * F.cos(d)
+    azimuth = F.degrees(F.atan2(x, y) + h + d)
+    return F.pmod(azimuth, F.lit(360.0)), F.degrees(F.asin(lifted))
