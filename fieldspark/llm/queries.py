@@ -54,7 +54,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return sharding.written_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

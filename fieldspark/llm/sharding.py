@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, new_path, write_and_read
+from .storage import Scratch, new_path, scratched, write_and_read
 
 #: Bits that a hash has; a bucket that is still too large with all of them holds one key, or its rows are too large themselves.
 BITS = 60
@@ -23,7 +23,8 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", step: int = 8) -> DataFrame:
+@scratched
+def shards(scratch: Scratch, docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", step: int = 8) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, local_depth, shard, shard_bytes, shard_rows.
 
     A row has the bytes of its UTF-8 text (null: 0); its key is its id (null
@@ -31,7 +32,6 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     rows fit in one).  No shard exceeds limit, but those whose rows all share
     one key, such as a single document that is larger by itself.
     """
-    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     rows = scratch.table(rows.withColumn("h", hash_bits(F.col("doc_id"))), "rows")
     # equal hashes cannot be split: one row for each, summed before the shuffle
@@ -68,13 +68,58 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         placed = scratch.table(hashes.join(final, ["local_depth", "bits"]), "placed")
         named = F.when(F.col("local_depth") == 0, "").otherwise(F.lpad(F.bin("bits"), F.col("local_depth"), F.lit("0")))
         out = rows.join(placed, "h").select("doc_id", "n_bytes", F.col("local_depth").cast("long").alias("local_depth"), named.alias("shard"), "shard_bytes", "shard_rows")
-    out = write_and_read(out, new_path(docs.sparkSession, "shards"))
-    scratch.clear()
-    return out
+    return write_and_read(out, new_path(docs.sparkSession, "shards"))
+
+
+def directory(found: DataFrame) -> DataFrame:
+    """The directory of the shards that rows of ``shards`` lie in: shard, local_depth, shard_bytes, shard_rows.
+
+    A later batch finds its bucket by the longest prefix of its hash that
+    stands here; the global depth is the largest local_depth.
+    """
+    return found.select("shard", "local_depth", "shard_bytes", "shard_rows").distinct()
+
+
+def folder_column(columns: list[str]) -> str:
+    """shard, with underscores behind it while a column of the table has that name."""
+    name, taken = "shard", {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs as one folder shard=... for each shard, all columns as they were."""
-    found = shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__llm_id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__llm_id"))).drop("__llm_id")
-    joined.repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    """Writes docs below path: ``rows`` has one folder shard=b... for each shard, all columns as they were; ``directory`` the directory.
+
+    Where docs has a column shard itself, folders are named shard_= instead.
+    Rows with a null id, and rows that repeat one, go where their id belongs.
+    """
+    found = shards(docs, limit, id_col, text_col)
+    directory(found).write.parquet(f"{path}/directory")
+    name = folder_column(docs.columns)
+    placed = found.select(F.col("doc_id").alias("__llm_id"), F.concat(F.lit("b"), "shard").alias("__llm_shard")).distinct()
+    joined = docs.join(placed, F.col(id_col).cast("long").eqNullSafe(F.col("__llm_id"))).drop("__llm_id").withColumnRenamed("__llm_shard", name)
+    joined.repartition(name).write.partitionBy(name).option("compression", "zstd").parquet(f"{path}/rows")
+
+
+def written_shards(docs: DataFrame, limit: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the shards and says what their files hold: doc_id, n_bytes, local_depth, shard, shard_bytes, shard_rows.
+
+    All of it is read back; a shard whose rows or bytes are not those of the
+    directory fails the job.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "sharded")
+    write_shards(docs, path, limit, id_col, text_col)
+    name = folder_column(docs.columns)
+    if docs.isEmpty():  # no folder has been written
+        return shards(docs, limit, id_col, text_col)
+    read = spark.read.schema(docs.schema.add(name, "string")).parquet(f"{path}/rows")
+    rows = read.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.expr(f"substring({name}, 2)").alias("shard"))
+    sums = rows.groupBy("shard").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
+    listed = spark.read.parquet(f"{path}/directory").join(sums, "shard", "full")
+    same = (F.col("bytes") == F.col("shard_bytes")) & (F.col("rows") == F.col("shard_rows"))
+    wrong = F.raise_error(F.lit("a shard's files are not what the directory says")).cast("long")
+    listed = listed.select("shard", "local_depth", F.when(same, F.col("bytes")).otherwise(wrong).alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+    out = rows.join(listed, "shard").select("doc_id", "n_bytes", "local_depth", "shard", "shard_bytes", "shard_rows")
+    return write_and_read(out, new_path(spark, "shard-rows"))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from cases import SF_DIR, all_links, components, frame, texts
+from cases import EDGE, SF_DIR, all_links, components, frame, texts
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -201,12 +201,19 @@ def test_shards_against_brute_force(spark, limit):
 def test_shards_written_hold_every_row(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     sharding.write_shards(docs, f"file://{tmp_path}/out", 50_000)
-    back = spark.read.parquet(f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out/rows")
     assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
     sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
     assert all(r.n <= 50_000 or r.rows == 1 for r in sizes)
 
 
+def test_shards_of_a_table_with_clashing_names(spark):
+    rows = [*EDGE, *[(k, f"text {k} " * (k % 50)) for k in range(300)]]
+    plain = sorted(map(tuple, sharding.shards(frame(spark, rows), 3000).collect()), key=repr)
+    assert sorted(map(tuple, sharding.written_shards(frame(spark, rows), 3000).collect()), key=repr) == plain
+    assert sharding.written_shards(frame(spark, []), 3000).count() == 0
+
+
 # -- pipeline
 
 
