@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, new_path, partitions, release_shuffles, write_and_read
+from .storage import Scratch, new_path, partitions, release_shuffles, scratched, write_and_read
 
 #: Perfect difference covers: every residue other than 0 is a difference exactly once.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 FIRST_BITS, LAST_BITS = 40, 56
 #: Bytes of text in a block, and names in a bucket, on average.
 BLOCK_BYTES, BUCKET_NAMES = 8 << 20, 2_000_000
+#: Spark's own limit, spark.sql.sources.bucketing.maxBuckets.
+MOST_BUCKETS = 100_000
 U = np.uint64
 
 
@@ -221,7 +223,8 @@ def _same(lists: pa.Table, first_only: bool) -> pa.Table:
 TOLD = "block int, kind int, bucket int, blob binary"
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+@scratched
+def suffix_dedup(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte is removed that a string of length bytes covers which also
@@ -231,7 +234,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     remove nothing.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     cover_for(length)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("data"))
@@ -240,7 +242,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     v, cover = cover_for(length)
     buckets = max(1, min(1 << 20, -(-total * len(cover) // (v * BUCKET_NAMES))))
     ranged = rows.where("doc_id IS NOT NULL").repartitionByRange(blocks, "doc_id").withColumn("block", F.spark_partition_id())
-    texts = scratch.bucketed(ranged, max(blocks, partitions(spark)), "block")
+    # a bucket holds several blocks where there are more than a table may have buckets
+    texts = scratch.bucketed(ranged, min(max(blocks, partitions(spark)), MOST_BUCKETS), "block")
     release_shuffles(spark)
     slim = texts.select("block", "doc_id", "digest")
     least = slim.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
@@ -277,6 +280,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release_shuffles(spark)
     out = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     nameless = rows.where("doc_id IS NULL").select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("digest")).alias("kept_sha256"))
-    out = write_and_read(out.unionByName(nameless), new_path(spark, "suffixes"))
-    scratch.clear()
-    return out
+    return write_and_read(out.unionByName(nameless), new_path(spark, "suffixes"))
