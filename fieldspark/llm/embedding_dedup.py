@@ -4,7 +4,8 @@ Each tree splits the vectors again and again by a random direction; vectors
 whose projection lies within ``spill`` of the threshold go to both sides.  The
 thresholds are fitted on the driver from a sample of at most ``sample_rows``
 vectors, every vector is then routed through the trees, and leaves that the
-sample was too thin to finish get further rounds of the same.  Within a leaf
+sample was too thin to finish get further rounds of the same, with a sample
+that grows with their number up to MOST_SAMPLED.  Within a leaf
 all pairs are verified in double precision, in cells of bounded size.  A pair
 that meets in several leaves counts in the first of them only, so link counts
 are exact for the pairs found, and leaves return counts and forests of links,
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cells import by_cell, forest, pair_cells
 from .components import connected_components
-from .storage import Scratch, new_path, write_and_read
+from .storage import Scratch, new_path, scratched, write_and_read
 
 #: Most rows of a leaf that one cell compares at once.
 CELL_ROWS = 1024
@@ -55,6 +56,15 @@ def direction(seed: int, dim: int) -> np.ndarray:
     return r / np.sqrt(r @ r)
 
 
+#: Sampled vectors that an open leaf should have, and the most that a round collects for all of them.
+LEAF_SAMPLE, MOST_SAMPLED = 192, 200_000
+
+
+def thin(tree: Split | int) -> int:
+    """Leaves of a tree that a further round decides."""
+    return int(tree == THIN) if isinstance(tree, int) else thin(tree.left) + thin(tree.right)
+
+
 #: What ends a path: done, or so few sampled vectors that a further round decides.
 DONE, THIN = 1, 0
 
@@ -101,13 +111,14 @@ def plant(vectors: DataFrame, trees: int, leaf_rows: int, spill: float, sample_r
     """vectors (node, vec, ...) with leaves: the ids of all leaves they lie in, as packed longs."""
     start = np.array([(t << (DEPTH + 2)) | 1 for t in range(trees)], np.int64)
     rows = vectors.withColumns({"leaves": F.lit(start.tobytes()), "open": F.lit(start.tobytes())})
+    wanted = sample_rows
     for turn in range(max_rounds):
         waiting = rows.where(F.length("open") > 0)
         total = waiting.count()
         if not total:
             break
-        # of all that wait, the sample_rows with the least hash
-        sample = waiting.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(sample_rows).select("vec", "open").toPandas()
+        # of all that wait, those with the least hash
+        sample = waiting.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(wanted).select("vec", "open").toPandas()
         scale = max(1.0, total / max(1, len(sample)))
         model = {}
         sample["dim"] = sample["vec"].map(len)
@@ -121,6 +132,8 @@ def plant(vectors: DataFrame, trees: int, leaf_rows: int, spill: float, sample_r
                 depth = (leaf & ((1 << (DEPTH + 2)) - 1)).bit_length() - 1
                 model[(dim, leaf)] = grow(x[members], scale, leaf_rows, spill, seed + (leaf * 31 + dim) % (1 << 40), depth)
         last = turn == max_rounds - 1
+        # the next round's sample grows with the leaves that are left open in a tree
+        wanted = min(MOST_SAMPLED, max(sample_rows, LEAF_SAMPLE * sum(map(thin, model.values())) // trees))
 
         def step(batches: Iterator[pd.DataFrame], model=model, last=last) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -188,8 +201,9 @@ def links_in(cell: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarr
     return ids, counts, ids[told], ids[root[told]]
 
 
+@scratched
 def embedding_dedup(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
+    scratch: Scratch, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
     trees: int = 6, leaf_rows: int = 256, spill: float = 0.025, sample_rows: int = 20_000, seed: int = 17,
 ) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept.
@@ -203,7 +217,6 @@ def embedding_dedup(
     The forest is approximate: the README has its measured recall.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = usable(F.col("v")) & F.col("vec_id").isNotNull()
     # -0.0 + 0.0 is 0.0: vectors that are equal as numbers are equal as bytes
@@ -248,6 +261,4 @@ def embedding_dedup(
     linked = found.join(own, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    out = write_and_read(out, new_path(spark, "embeddings"))
-    scratch.clear()
-    return out
+    return write_and_read(out, new_path(spark, "embeddings"))
