@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, scratched
+from .storage import Scratch, partitions, scratched, small_side
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Times the estimated discounts, of bigrams and of words: what fold 4 chooses among.  All leave nothing of a single
@@ -206,7 +206,9 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
                 x, v, w, y = map(np.concatenate, zip(*made, strict=True))
                 yield pd.DataFrame({"x": x.view(np.int64), "v": v.view(np.int64), "w": w.view(np.int64), "y": y})
 
-    each = rows.where("counts").select("text", "y").mapInPandas(count, "x long, v long, w long, y int").distinct()
+    each = rows.where("counts").select("text", "y").mapInPandas(count, "x long, v long, w long, y int")
+    # dealt once by what is counted: the rows of an expression are told apart and counted where they are
+    each = each.repartition(partitions(docs.sparkSession), "v", "w").distinct()
     sums = [F.sum((F.col("y") % 2 == c).cast("long")).alias(f"n{c}") for c in (0, 1)]
     counts = scratch.table(each.groupBy("v", "w", (F.col("y") >= 2).alias("pair")).agg(*sums), "counts")
     often = counts.groupBy("pair").agg(*[F.count_if(F.col(f"n{c}") == k).alias(f"c{c}{k}") for c in (0, 1) for k in (1, 2, 3, 4)]).collect()
@@ -218,7 +220,8 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
     whole = [F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)]
     bigrams, singles = counts.where("pair"), counts.where("NOT pair")
     pairs = bigrams.where(F.greatest("n0", "n1") > least[0]).select("v", "w", "n0", "n1").toPandas()
-    kept = bigrams.join(bigrams.where(F.greatest("n0", "n1") > least[0]).select("v").distinct(), "v", "left_semi")
+    open_words = scratch.table(bigrams.where(F.greatest("n0", "n1") > least[0]).select("v").distinct(), "contexts")
+    kept = bigrams.join(small_side(open_words), "v", "left_semi")
     contexts = kept.groupBy(F.col("v").alias("key")).agg(*whole, *taken).toPandas()
     words = singles.where(F.greatest("n0", "n1") > min(least)).select(F.col("w").alias("key"), F.col("n0").alias("u0"), F.col("n1").alias("u1")).toPandas()
     totals = singles.agg(*whole, *[F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(o[1]))).alias(f"g{c}_{i}") for i, o in enumerate(offs) for c in (0, 1)]).first()
@@ -239,7 +242,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
             yield pd.DataFrame({"y": b["y"], "x": [[x for m in shared.value for x in power_means(m.ratios(k))] for k in keys]})
 
     held = rows.where("NOT counts").select("text", "y").mapInPandas(margins, "y int, x array<double>").toPandas()
-    y, x = held["y"].to_numpy(), np.array(held["x"].tolist()).reshape(len(held), len(STRENGTHS) * len(ORDERS))
+    y, x = held["y"].to_numpy(), np.array(held["x"].tolist(), float).reshape(len(held), len(STRENGTHS) * len(ORDERS))
     fits = [fit_curve(x[:, k], y) for k in range(x.shape[1])]
     best = min(range(len(fits)), key=lambda k: fits[k][2])
     scale, shift, _ = fits[best]
