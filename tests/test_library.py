@@ -108,3 +108,35 @@ def test_minimiser_query_is_the_dense_solution(spark):
     want = np.linalg.solve(np.eye(len(col)) + 0.2 * dense.T @ dense, 0.2 * dense.T @ np.array([orders[k] for k in sorted(orders)]))
     got = {r.col: r.x for r in catalog.QUERIES["sol11_conjugate_gradient"](spark, at).collect()}
     assert max(abs(float(got.get(k, 0.0)) - want[i]) for k, i in col.items()) < 6e-5
+
+
+def test_followed_files_are_counted_by_hour(spark, tmp_path):
+    from fieldspark import streaming
+
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    lines = [f"2024-01-05T{h:02d}:{m:02d}:00 20.0 -60.0 1000 900.0 10.0 5.0 90 10 0.5" for h, m in [(1, 5), (1, 50), (2, 10), (4, 0), (6, 30)]]
+    (folder / "a.insitu").write_text("\n".join(lines))
+    counts = streaming.counted(streaming.followed(spark, f"file://{folder}", "insitu"))
+    query = counts.writeStream.format("memory").queryName("followed_counts").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.n_rows for r in spark.table("followed_counts").collect()) == [1, 1, 1, 2]
+
+
+def test_beams_that_point_along_and_up(spark):
+    """A level aircraft that flies north: the beam ahead, to the side and up."""
+    from fieldspark.functions import radar
+
+    rows = spark.createDataFrame([(0.0, 90.0), (90.0, 0.0), (0.0, 0.0)], "rotation double, tilt double")
+    zero = F.lit(0.0)
+    azimuth, elevation = radar.earth_angles(zero, zero, zero, zero, F.col("rotation"), F.col("tilt"))
+    found = [(round(r.a, 6) % 360, round(r.e, 6)) for r in rows.select(azimuth.alias("a"), elevation.alias("e")).collect()]
+    assert found[0] == (0.0, 0.0) and found[1] == (90.0, 0.0) and found[2][1] == 90.0
+
+
+def test_splines_sum_to_one_and_their_slopes_to_zero(spark):
+    from fieldspark.functions import spline
+
+    rows = spark.range(101).select((F.col("id") / 100).alias("t"))
+    sums = [sum(spline.basis(F.col("t") - k, d) for k in (-1, 0, 1, 2)).alias(f"d{d}") for d in (0, 1)]
+    assert all(abs(r.d0 - 1) < 1e-12 and abs(r.d1) < 1e-12 for r in rows.select(*sums).collect())
