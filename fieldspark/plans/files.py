@@ -41,7 +41,6 @@ def _told(rows, *plain):
     return rows.select("second", *plain, *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
 
-_O = F.lit("0")
 
 
 @registered(_FLOWN + f""", h AS (SELECT *, {_K.format('t')} AS temperature, CAST(event_id % 90 + 5 AS DOUBLE) AS rh FROM flown), s AS (
@@ -52,7 +51,7 @@ def src05_sondes(spark, sf_dir):
     rows = _flown(spark, sf_dir)
     at = F.from_unixtime("day")
     header = F.concat(F.lit("Launch Site Type/Site ID:  sonde\n"), F.rpad(F.lit("UTC Launch Time (y,m,d,h,m,s):"), 43, " "), F.date_format(at, "yyyy, MM, dd"), F.lit(", "), F.date_format(at, "HH:mm:ss"), F.lit("\n------"))
-    made = [(F.col("second") - F.col("day")).cast("string"), _O, _O, _O, _shown("pressure"), _shown("t"), _O, (F.col("event_id") % 90 + 5).cast("string"), _O, _O, _shown("speed"), _shown("direction"), _O, _shown("altitude"), _shown("longitude"), _shown("latitude")]
+    made = [(F.col("second") - F.col("day")).cast("string"), F.lit("0"), F.lit("0"), F.lit("0"), _shown("pressure"), _shown("t"), F.lit("0"), (F.col("event_id") % 90 + 5).cast("string"), F.lit("0"), F.lit("0"), _shown("speed"), _shown("direction"), F.lit("0"), _shown("altitude"), _shown("longitude"), _shown("latitude")]
     return _told(_there_and_back(spark, rows, "eol", header, *made))
 
 
@@ -65,7 +64,7 @@ def src06_flight_level(spark, sf_dir):
     w = F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 7).cast("string")).otherwise("-32767")
     clock = F.date_format(F.from_unixtime("second"), "HHmmss")
     west = (-F.col("longitude")).cast("decimal(12,2)").cast("string")
-    made = [clock, _shown("latitude"), west, _O, _O, _O, _O, _shown("altitude"), _shown("pressure"), _shown("direction"), _shown("speed"), _shown("t"), _shown("td"), _O, _O, _O, w]
+    made = [clock, _shown("latitude"), west, F.lit("0"), F.lit("0"), F.lit("0"), F.lit("0"), _shown("altitude"), _shown("pressure"), _shown("direction"), _shown("speed"), _shown("t"), _shown("td"), F.lit("0"), F.lit("0"), F.lit("0"), w]
     return _told(_there_and_back(spark, rows, "1sec", header, *made))
 
 

@@ -34,3 +34,13 @@ def test_entry(spark):
 def test_every_sql_has_a_query():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_import_needs_no_session():
+    """The entry file is read before there is a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).resolve().parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True, timeout=120)
