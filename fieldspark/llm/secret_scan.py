@@ -19,7 +19,13 @@ TOKEN = "A-Za-z0-9_+/=~-"
 #: A whole run of token characters with a digit anywhere in it, or a block of a private key, headers and all.  Neither has
 #: a greatest length; the quantifiers are possessive, so a long run costs one pass.
 KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----\s*(?:[A-Za-z][A-Za-z-]*:[^\r\n]*[\r\n]+)*+[A-Za-z0-9+/=\s]*-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
-CANDIDATE = rf"{KEY_BLOCK}|(?<![{TOKEN}])(?=[A-Za-z_+/=~-]*+[0-9])[{TOKEN}]{{16,}}+"
+RUN = rf"(?<![{TOKEN}])(?=[A-Za-z_+/=~-]*+[0-9])[{TOKEN}]{{16,}}+"
+#: What a key word assigns, of six characters and more, with or without a digit.
+ASSIGNS = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?[ \t]{0,2}(?:=>|:=|[:=])[ \t]{0,2}[\"']?"
+VALUE = rf"(?<={ASSIGNS})[^\s\"'<>,;]{{5,}}[^\s\"'<>,;.)\]}}]"
+CANDIDATE = f"{KEY_BLOCK}|{VALUE}|{RUN}"
+#: The same where a text assigns nothing to a key word: without a look-behind at each character.
+PLAIN = f"{KEY_BLOCK}|{RUN}"
 ASKS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signing"
 INNOCENT = "commit|sha|md5|hash|checksum|digest|uuid|guid|etag|revision|order|card|account|phone|isbn|serial|build|version|trace"
 KNOWN = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ|npm_|-----BEGIN)"
@@ -27,7 +33,7 @@ KNOWN = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|ey
 DICTIONARY = "access|account|action|address|array|async|backup|base|block|buffer|build|button|bytes|cache|call|channel|check|class|client|code|color|column|command|config|connect|content|count|create|data|date|debug|default|delete|detail|device|document|domain|element|email|engine|error|event|example|factory|field|file|filter|format|function|group|handler|header|height|image|index|input|item|label|layout|length|level|list|local|login|manager|message|method|model|module|name|network|number|object|option|order|output|page|panel|param|parse|path|pattern|phone|place|player|point|print|process|product|project|query|queue|random|record|remote|render|report|request|result|return|row|sample|schema|screen|search|select|server|service|session|shape|size|source|start|state|status|store|stream|string|style|system|table|target|task|template|test|text|thread|time|title|total|type|update|user|value|vector|version|view|widget|width|window|worker|write"
 #: Characters of context on either side that are looked at.
 CONTEXT = 48
-FEATURES = ["length", "letter_to_digit", "case_changes", "punctuation", "digit_share", "upper_share", "vowel_share", "distinct_share", "hex_only", "covered", "known_form", "asks", "innocent", "assigned", "quoted", "placeholder", "example_path", "looks_grouped"]
+FEATURES = ["length", "letter_to_digit", "case_changes", "punctuation", "digit_share", "upper_share", "vowel_share", "distinct_share", "hex_only", "covered", "known_form", "asks", "innocent", "assigned", "quoted", "placeholder", "example_path", "looks_grouped", "refers"]
 
 
 def features(candidate: Column, before: Column, after: Column, path: Column) -> list[Column]:
@@ -61,9 +67,10 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         says(left, f"({INNOCENT})[a-z_ -]{{0,12}}[\"']?\\s{{0,3}}(:|=|=>|is)?\\s{{0,3}}[\"']?$"),
         says(left, "[:=]\\s{0,3}[\"']?$"),
         says(F.concat(F.substring(left, -1, 1), F.substring(right, 1, 1)), "^(\"\"|'')$"),
-        says(F.lower(candidate), "x{4}|0{6}|1234567|abcdef0|example|changeme|placeholder|your[_-]"),
+        says(F.lower(candidate), "x{4}|0{6}|1234567|abcdef0|example|changeme|placeholder|your[_-]|required|optional|undefined"),
         says(F.lower(F.coalesce(path, F.lit(""))), "test|example|fixture|sample|docs?/|vendor|lock|mock"),
         says(candidate, "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-|^[0-9]+$|^[0-9]+[-/][0-9-/]+$|^[a-z]+([_-][a-z]+)+[0-9]*$"),
+        says(candidate, "[({\\[]|^[$%]|^[a-z_]+([.][a-zA-Z_]+)+$"),
     ]
     return [c.cast("double") for c in out]
 
@@ -100,6 +107,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, F.concat(prose, innocent), hexes), (0, F.concat(prose, innocent), uuid), (0, F.concat(prose, plain), F.substring(digits, 1, 16)), (0, F.concat(prose, plain), name), (0, prose, hexes), (0, F.concat(prose, asks, equals), pick("x", "xxxxxxxxxxxx0000", "your_token_here_1", "EXAMPLE0000000000", "changeme12345678", "00000000000000000000")),
         (0, F.concat(prose, F.lit("https://host/")), F.concat(name, F.lit("/"), sub(h, 8))), (0, F.concat(prose, plain), F.concat(sub(digits, 4), F.lit("-"), F.substring(digits, 5, 4), F.lit("-"), F.substring(digits, 9, 8))),
     ]
+    # what a key word assigns: passphrases and short values, and the words and references that stand there as well
+    phrase = F.call_function("array_join", F.array(*[pick(f"a{k}", "Correct", "Horse", "Battery", "Staple", "Winter", "Orange", "Velvet", "Thunder", "Copper", "Meadow", "Falcon", "Granite") for k in range(4)]), pick("j", "-", "-", "_", "."))
+    letters = F.regexp_replace(b64, "[^A-Za-z]", "")
+    word = F.concat(pick("o", "required", "optional", "nothing", "should", "because", "always", "expired", "missing", "hidden", "revoked", "invalid", "everyone"), pick("o2", "", "", "ly", "-only"))
+    refers = F.concat(pick("r1", "self.", "config.", "os.environ[", "get_token(", "${", "request.headers.", "settings."), pick("r2", "token", "secret_key", "password", "value", "API_KEY", "auth_value"))
+    short = F.concat(F.substring(b64, F.lit(1), pick("l2", 7, 8, 9, 11)), pick("m", "!", "#", "@", "9", "$7"))
+    kinds += [(1, F.concat(prose, asks, equals), phrase), (1, F.concat(prose, asks, equals), F.substring(letters, F.lit(1), pick("l3", 12, 20, 32))), (1, F.concat(prose, asks, equals), short), (0, F.concat(prose, asks, equals), word), (0, F.concat(prose, asks, equals), refers)]
     n = len(kinds)
     chosen = [F.when(i % n == k, F.struct(F.lit(float(y)).alias("label"), b.alias("before"), c.alias("candidate"))) for k, (y, b, c) in enumerate(kinds)]
     out = spark.range(rows).select("id", F.coalesce(*chosen).alias("f"))
@@ -136,10 +150,10 @@ def as_column(model: RandomForestClassificationModel, f: Column) -> Column:
 def scanned(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """docs with __llm_gaps (the text between candidates) and __llm_found: candidate, start, score of each, in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike("[0-9]|-----BEGIN")
-    hits = F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    some, assigns = text.rlike("[0-9]|-----BEGIN"), text.rlike(ASSIGNS)
+    hits = F.when(assigns, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).when(some, F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("__llm_hits", hits)
-    gaps = F.when(F.size("__llm_hits") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
+    gaps = F.when(F.size("__llm_hits") == 0, F.array(text)).when(assigns, F.split(text, CANDIDATE, -1)).otherwise(F.split(text, PLAIN, -1))
     out = out.withColumn("__llm_gaps", gaps)
     path = F.col(path_col) if path_col in docs.columns else F.lit("")
     lengths = F.zip_with(F.slice("__llm_gaps", 1, F.size("__llm_hits")), "__llm_hits", lambda g, c: F.struct(F.length(g).alias("g"), F.length(c).alias("c")))
@@ -155,7 +169,10 @@ def scanned(docs: DataFrame, model: RandomForestClassificationModel, text_col: s
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row for each candidate: doc_id, start (in characters), n_chars, candidate_sha256, score, is_secret.
 
-    Null and empty texts have none.  Rows with a null doc_id are scanned like
+    Candidates are whole blocks of private keys, whole runs of 16 and more
+    token characters with a digit, and whole values of six and more characters
+    that a key word assigns; none has a greatest length.  An empty table gives
+    an empty one.  Null and empty texts have none.  Rows with a null doc_id are scanned like
     others.  Repeated rows each have their own findings.
     """
     model = model or train(labelled_findings(docs.sparkSession))

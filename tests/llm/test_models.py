@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from cases import EDGE, SF_DIR, all_links, components, frame, texts
 from pyspark.sql import functions as F
 
@@ -72,6 +73,19 @@ def test_long_secrets_and_key_blocks_are_masked_whole(spark, forest):
     assert not any(r.is_secret for r in secret_scan.scan(frame(spark, clean), forest).collect())
 
 
+def test_values_that_key_words_assign(spark, forest):
+    """Short values and such without a digit are secrets, words and references in their place are not."""
+    secret = ["Amber-Canyon-Harvest-Piano", "hT7#kQ2w", "zQvXbTnMwKpLrJdF", "r4V!x9Lm2", "Silent-River-Marble-Kite"]
+    other = ["required", "self.config.value", "get_token(request)", "${MY_TOKEN}", "forgotten"]
+    rows = [(i, f'and then password = "{v}" was set') for i, v in enumerate(secret + other)] + [(99, "the password: is short, a tokens: 12 of")]
+    found = {(r.doc_id, r.start): r for r in secret_scan.scan(frame(spark, rows), forest).collect()}
+    assert all((i, 21) in found for i in range(len(secret)))
+    told = {i for (i, _), r in found.items() if r.is_secret}
+    assert told == set(range(len(secret)))
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(frame(spark, rows), forest).collect()}
+    assert all(masked[i] == ('and then password = "[SECRET]" was set' if i < len(secret) else t) for i, t in rows)
+
+
 def test_length_does_not_tell_the_kind(spark):
     """Every length of hexadecimal stands among the secrets and among the others."""
     rows = secret_scan.labelled_findings(spark, 3000).where("candidate RLIKE '^[0-9a-f]+$'").select("label", F.length("candidate").alias("n")).distinct().collect()
@@ -86,7 +100,7 @@ def test_scan_runs_no_python(spark, forest):
 def test_candidates_of_a_table(spark, forest):
     """The candidates are those of Python's own regular expressions."""
     out = secret_scan.scan(spark.read.parquet(f"{SF_DIR}/documents.parquet"), forest).collect()
-    want = Counter((i, m.start(), len(m.group())) for i, t in texts(spark) for m in re.finditer(secret_scan.CANDIDATE, t or ""))
+    want = Counter((i, m.start(), len(m.group())) for i, t in texts(spark) for m in regex.finditer(secret_scan.CANDIDATE, t or ""))
     assert Counter((r.doc_id, r.start, r.n_chars) for r in out) == want
 
 
