@@ -86,6 +86,17 @@ def test_values_that_key_words_assign(spark, forest):
     assert all(masked[i] == ('and then password = "[SECRET]" was set' if i < len(secret) else t) for i, t in rows)
 
 
+def test_scan_of_a_table_against_a_rule_of_its_own(spark, forest):
+    """In the test tables, what a key word assigns is a secret and any other candidate is not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = docs.select("doc_id", "text")
+    rows = secret_scan.scan(docs, forest).join(known, "doc_id").select("is_secret", F.expr("substring(text, cast(greatest(start - 13, 1) as int), cast(least(start, 14) as int))").alias("left")).collect()
+    told = Counter((bool(re.search('(?i)token = "$', r.left)), r.is_secret) for r in rows)
+    assert told[True, True] > 100 < told[False, False]
+    assert told[True, True] >= 0.98 * (told[True, True] + told[True, False])
+    assert told[True, True] >= 0.98 * (told[True, True] + told[False, True])
+
+
 def test_length_does_not_tell_the_kind(spark):
     """Every length of hexadecimal stands among the secrets and among the others."""
     rows = secret_scan.labelled_findings(spark, 3000).where("candidate RLIKE '^[0-9a-f]+$'").select("label", F.length("candidate").alias("n")).distinct().collect()
