@@ -21,7 +21,10 @@ TOKEN = "A-Za-z0-9_+/=~-"
 KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----\s*(?:[A-Za-z][A-Za-z-]*:[^\r\n]*[\r\n]+)*+[A-Za-z0-9+/=\s]*-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 RUN = rf"(?<![{TOKEN}])(?=[A-Za-z_+/=~-]*+[0-9])[{TOKEN}]{{16,}}+"
 #: What a key word assigns, of six characters and more, with or without a digit.
-ASSIGNS = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?[ \t]{0,2}(?:=>|:=|[:=])[ \t]{0,2}[\"']?"
+ASKED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?[ \t]{0,2}"
+ASSIGNS = rf"{ASKED}(?:=>|:=|[:=])[ \t]{{0,2}}[\"']?"
+#: Whether a text assigns to a key word at all: looks back at the signs only.
+GATE = rf"[:=](?<={ASKED}[:=])"
 VALUE = rf"(?<={ASSIGNS})[^\s\"'<>,;]{{5,}}[^\s\"'<>,;.)\]}}]"
 CANDIDATE = f"{KEY_BLOCK}|{VALUE}|{RUN}"
 #: The same where a text assigns nothing to a key word: without a look-behind at each character.
@@ -150,7 +153,7 @@ def as_column(model: RandomForestClassificationModel, f: Column) -> Column:
 def scanned(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """docs with __llm_gaps (the text between candidates) and __llm_found: candidate, start, score of each, in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some, assigns = text.rlike("[0-9]|-----BEGIN"), text.rlike(ASSIGNS)
+    some, assigns = text.rlike("[0-9]|-----BEGIN"), text.rlike(GATE)
     hits = F.when(assigns, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).when(some, F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("__llm_hits", hits)
     gaps = F.when(F.size("__llm_hits") == 0, F.array(text)).when(assigns, F.split(text, CANDIDATE, -1)).otherwise(F.split(text, PLAIN, -1))
