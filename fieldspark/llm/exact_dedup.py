@@ -9,6 +9,7 @@ the index; what is new is appended, and what stays is read from the index.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,18 +30,43 @@ def digest_of(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The persistent index: digest, keep_id, batch.  A later session opens it again by the same name, buckets and location.
-
-    The number of buckets is fixed when the index is made: choose it for the
-    size the index will reach (a bucket should stay below about 1 GB).
-    Each append adds a sorted file to each bucket, and reads of more than one
-    file sort again: ``compact`` puts them together.
+    """The persistent index: digest, keep_id, batch.  A later session opens it again by its location alone.
+
+    A location holds versions, folders ``v-<number>-of-<buckets>``; the index
+    is the newest that a finished job has marked, or the first.  The number of
+    buckets is fixed when the index is made: choose it for the size the index
+    will reach (a bucket should stay below about 1 GB).  Each append adds a
+    sorted file to each bucket, and reads of more than one file sort again:
+    ``compact`` puts them together in a new version at the same location.
+    One session writes to an index at a time.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, location: str | None = None):
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or partitions(spark)
-        self._create(self.name, location or f"{shared_dir(spark)}/{self.name}")
+        self.location = (location or f"{shared_dir(spark)}/{self.name}").rstrip("/")
+        known = self._versions()
+        made = {b for _, b, _ in known}
+        if made and buckets and made != {buckets}:
+            raise ValueError(f"the index at {self.location} has {made} buckets, not {buckets}")
+        self.buckets = made.pop() if made else buckets or partitions(spark)
+        # a version without the mark is the first, or what a compaction left unfinished
+        ready = [n for n, _, done in known if done] or [n for n, _, _ in known][:1] or [0]
+        self.version = max(ready)
+        self._create(self.name, self._folder(self.version))
+        self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{self._folder(self.version)}'")  # a metastore may name an older version
+
+    def _folder(self, version: int) -> str:
+        return f"{self.location}/v-{version}-of-{self.buckets}"
+
+    def _versions(self) -> list[tuple[int, int, bool]]:
+        """Number, buckets, and whether it is marked, of each version, ascending."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.location)
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(place):
+            return []
+        found = [re.fullmatch(r"v-(\d+)-of-(\d+)", s.getPath().getName()) for s in files.listStatus(place)]
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted((int(m[1]), int(m[2]), files.exists(mark(f"{self.location}/{m[0]}/_SUCCESS"))) for m in found if m)
 
     def _create(self, name: str, location: str) -> None:
         self.spark.sql(
@@ -61,37 +87,50 @@ class DigestIndex:
         Spark commits the files of an append together; a run that dies before that adds nothing.
         """
         new.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
 
     def compact(self) -> None:
-        """One sorted file for each bucket again.  The old files go only when the new ones stand."""
-        fresh = f"{self.name}_{uuid.uuid4().hex[:8]}"
-        self._create(fresh, f"{shared_dir(self.spark)}/{fresh}")
-        self.table().repartition(self.buckets, "digest").write.insertInto(fresh)
-        old = self.name
-        place = self._place(old)
-        self.spark.sql(f"DROP TABLE {old}")
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {old}")
-        delete_path(self.spark, place)
-
-    def _place(self, name: str) -> str:
-        return next(r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {name}").collect() if r.col_name == "Location")
+        """One sorted file for each bucket again, in a new version.
+
+        The new version counts from the moment its job marks it as finished,
+        and the old one goes only then: a run that dies at any point leaves
+        one whole index at the location.
+        """
+        known = [n for n, _, _ in self._versions()]
+        fresh, name = max(known, default=0) + 1, f"{self.name}_{uuid.uuid4().hex[:8]}"
+        self._create(name, self._folder(fresh))
+        try:
+            self.table().repartition(self.buckets, "digest").write.insertInto(name)
+        except Exception:
+            delete_path(self.spark, self._folder(fresh))
+            raise
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")  # its files are not its own: they stay
+        self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{self._folder(fresh)}'")
+        self.spark.catalog.refreshTable(self.name)
+        self.version = fresh
+        for old in known:
+            delete_path(self.spark, self._folder(old))
 
     def drop(self) -> None:
-        place = self._place(self.name)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        delete_path(self.spark, place)
+        delete_path(self.spark, self.location)
 
 
 @scratched
-def exact_dedup(scratch: Scratch, docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+def exact_dedup(
+    scratch: Scratch, docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, batches: int = 1
+) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of the rows of equal text in docs, the largest doc_id stays, unless an
-    earlier batch has put the text into the index: then keep_id is that
-    batch's and no row stays.  keep_id is read from the index, to which the
-    new digests have been appended.  A batch with a name may be given again
-    after a failure at any point: what it has appended counts as its own, and
-    the answer is the same.
+    earlier call has put the text into the index: then keep_id is that
+    call's and no row stays.  docs goes to the index in the given number of
+    batches, ranges of falling doc_id of like size: the anti-join against the
+    index takes out of each what larger ids have brought.  keep_id is read
+    from the index.  A call with a named batch may be given again after a
+    failure at any point: what it has appended counts as its own, and the
+    answer is the same.
 
     Null text equals empty text; very long texts are one digest like others.
     A null doc_id never stays while its text has a row with an id; where all
@@ -104,11 +143,16 @@ def exact_dedup(scratch: Scratch, docs: DataFrame, index: DigestIndex | None = N
     try:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
         rows = scratch.table(rows, "digests")
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        cuts = sorted(set(rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+        part = F.lit(0)  # rows without an id come last: any other row of their text has brought it by then
+        for cut in cuts:
+            part = part + F.coalesce(F.col("doc_id") > F.lit(cut), F.lit(False)).cast("int")
+        groups = rows.groupBy("digest", part.alias("part")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("own_size"))
         groups = scratch.table(groups, "groups")
-        own.append(scratch.table(own.new_of(groups), "new"), batch)
-        spark.catalog.refreshTable(own.name)
-        told = groups.drop("keep_id").join(own.table().hint("merge"), "digest")
+        for k in range(len(cuts), -1, -1):
+            own.append(scratch.table(own.new_of(groups.where(F.col("part") == k)), "new"), batch)
+        sizes = groups.groupBy("digest").agg(F.sum("own_size").alias("group_size"))
+        told = sizes.join(own.table().hint("merge"), "digest")
         told = scratch.table(told.select("digest", "keep_id", "group_size", (F.col("batch") == batch).alias("fresh")), "told")
         out = rows.join(told, "digest").select(
             "doc_id",

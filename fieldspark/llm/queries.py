@@ -11,6 +11,8 @@ from . import embedding_dedup, exact_dedup, packing, piece_matching, secret_scan
 #: Where the public tokenizers' files are; None asks their package.
 TOKENIZERS: str | None = None
 SHARD_BYTES = 4_000_000
+#: Batches in which the exact-dedup query feeds its index.
+BATCHES = 3
 
 
 def tokenizer(name: str) -> str:
@@ -62,7 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), batches=BATCHES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

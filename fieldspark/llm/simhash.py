@@ -288,9 +288,17 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
     return left[i[apart]], right[j[apart]]
 
 
+def own_of(h: np.ndarray) -> int:
+    """One long for a set of shingles."""
+    return xxhash.xxh64_intdigest(np.sort(h).astype("<u8").tobytes(), SEED) - (1 << 63)
+
+
 @scratched
 def near_groups(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of every document with an id and a word, for similarities far below a few bits of 64.
+    """doc_id, own, component_id, stays of every document with an id and a word, for similarities far below a few bits of 64.
+
+    own names a document's set of shingles; stays marks the rows of the group's
+    smallest doc_id, and of the smallest own where that id has several sets.
 
     Two documents are linked where the Jaccard similarity of their sets of
     shingles is the given one or more; shingles count as equal where their
@@ -313,9 +321,6 @@ def near_groups(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_
     factors = np.random.default_rng(1000).integers(0, 1 << 63, (bands_for(similarity), ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     radius = radius_for(similarity, 64 * WIDE)
 
-    def own_of(h: np.ndarray) -> int:
-        return xxhash.xxh64_intdigest(np.sort(h).astype("<u8").tobytes(), SEED) - (1 << 63)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [(i, own_of(h), 8 * len(h), wide_fingerprint(h), band_keys(h, factors)) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if len(h := shingles(t, shingle))]
@@ -391,15 +396,37 @@ def near_groups(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_
     found = connected_components(links, "a", "b", scratch)
     known = nodes.join(found, nodes.own == found.node, "left").select("own", "rep", F.coalesce("component", "own").alias("component"))
     known = scratch.table(known, "members")
-    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("own", "component_id")
-    return write_and_read(rows.select("doc_id", "own").join(known, "own").select("doc_id", "component_id"), new_path(docs.sparkSession, "near"))
+    first = known.groupBy("component").agg(F.min(F.struct("rep", "own")).alias("first"))
+    known = known.join(first, "component").select("own", "first")
+    told = rows.select("doc_id", "own").join(known, "own")
+    stays = (F.col("doc_id") == F.col("first.rep")) & (F.col("own") == F.col("first.own"))
+    return write_and_read(told.select("doc_id", "own", F.col("first.rep").alias("component_id"), stays.alias("stays")), new_path(docs.sparkSession, "near"))
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with the smallest doc_id of each group of near copies, all columns as they were.
+    """docs with one document of each group of near copies, that of the smallest doc_id, all columns as they were.
 
-    Documents without an id or a word stay.
+    Documents without an id or a word stay.  Rows that share a doc_id are told
+    apart by their sets of shingles, so a row never goes because another row
+    of its id has a copy; of rows with the same id and set one stays.  Very
+    long texts are compared whole; an empty table gives an empty one.
     """
-    gone = near_groups(docs, id_col, text_col, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__llm_id")).distinct()
-    return docs.join(small_side(gone), F.col(id_col).cast("long") == F.col("__llm_id"), "left_anti")
+    found = near_groups(docs, id_col, text_col, shingle, similarity)
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("__llm_id")).distinct()
+    key = F.col(id_col).cast("long")
+    ids = docs.select(key.alias("__llm_id")).where("__llm_id IS NOT NULL")
+    twice = small_side(write_and_read(ids.groupBy("__llm_id").count().where("count > 1").select("__llm_id"), new_path(docs.sparkSession, "twice")))
+    if twice.isEmpty():
+        return docs.join(small_side(gone), key == F.col("__llm_id"), "left_anti")
+
+    @F.pandas_udf("long")
+    def own(texts: pd.Series) -> pd.Series:
+        sets = (shingles(t, shingle) for t in texts)
+        return pd.Series([own_of(h) if len(h) else None for h in sets], dtype="Int64")
+
+    plain = docs.join(twice, key == F.col("__llm_id"), "left_anti").join(small_side(gone), key == F.col("__llm_id"), "left_anti")
+    shared = docs.join(twice, key == F.col("__llm_id"), "left_semi").withColumns({"__llm_id": key, "__llm_own": own(F.col(text_col))})
+    stay = found.where("stays").select(F.col("doc_id").alias("__llm_id"), F.col("own").alias("__llm_own")).distinct()
+    once = shared.where("__llm_own IS NOT NULL").join(stay, ["__llm_id", "__llm_own"], "left_semi").dropDuplicates(["__llm_id", "__llm_own"])
+    wordless = shared.where("__llm_own IS NULL")
+    return plain.unionByName(once.unionByName(wordless).select(*docs.columns))

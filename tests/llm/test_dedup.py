@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -72,6 +72,51 @@ def test_a_batch_given_again_has_the_same_answer(spark):
         index.drop()
 
 
+def test_index_reopens_from_its_location(spark):
+    """A session that knows the location alone finds the index, before and after compaction, and after one that died."""
+    index = exact_dedup.DigestIndex(spark, "digest_index_here", 4)
+    try:
+        exact_dedup.exact_dedup(frame(spark, [(1, "a"), (2, "b")]), index)
+        exact_dedup.exact_dedup(frame(spark, [(3, "c")]), index)
+        for round_ in range(2):
+            spark.sql(f"DROP TABLE {index.name}")  # as a session without the metastore of the first
+            index = exact_dedup.DigestIndex(spark, f"digest_index_there_{round_}", location=index.location)
+            assert index.buckets == 4 and index.table().count() == 3
+            seen = exact_dedup.exact_dedup(frame(spark, [(9, "A"), (10, "C")]), index).collect()
+            assert {(r.keep_id, r.kept) for r in seen} == {(1, False), (3, False)}
+            index.compact()
+            assert index.table().count() == 3
+        dead = exact_dedup.DigestIndex(spark, "digest_index_dead", location=index.location)
+        dead.spark.createDataFrame([("x", 1, "b")], "digest string, keep_id long, batch string").write.parquet(index._folder(index.version + 1) + "/_temporary/0")
+        again = exact_dedup.DigestIndex(spark, "digest_index_again", location=index.location)
+        assert again.version == index.version and again.table().count() == 3
+        again.compact()
+        assert again.table().count() == 3 and len(again._versions()) == 1
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, location=index.location, buckets=8)
+        for other in (dead, again):
+            spark.sql(f"DROP TABLE {other.name}")
+    finally:
+        index.drop()
+
+
+def test_exact_batches_against_one(spark):
+    rows = [*EDGE, *((i, f"Text {i % 7}") for i in range(20, 60))]
+    one, many = (sorted(map(repr, exact_dedup.exact_dedup(frame(spark, rows), batches=k).collect())) for k in (1, 4))
+    assert one == many
+
+
+def test_later_batches_lose_what_earlier_ones_brought(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_index_batches", 4)
+    try:
+        seen, new_of = [], index.new_of
+        index.new_of = lambda groups: seen.append((groups.count(), new_of(groups).count())) or new_of(groups)
+        exact_dedup.exact_dedup(frame(spark, [(i, f"t{i % 10}") for i in range(40)]), index, batches=2)
+        assert seen == [(10, 10), (10, 0)] and index.table().count() == 10
+    finally:
+        index.drop()
+
+
 # -- simhash
 
 
@@ -219,3 +264,14 @@ def test_suffix_other_length(spark):
 def test_covers_are_perfect():
     for v, cover in suffix_dedup.COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+
+
+def test_keep_near_tells_rows_of_one_id_apart(spark):
+    """A row never goes because another row of its id has a copy."""
+    words = [f"word{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(f"other{i}" for i in range(40)), " ".join(f"third{i}" for i in range(50))
+    rows = [(3, a), (5, a + " more"), (5, b), (9, c), (9, None), (9, ""), (11, c + " x"), (None, a), (12, b), (13, a), (13, a)]
+    assert Counter(simhash.keep_near(frame(spark, rows)).select("doc_id", "text").collect()) == Counter([(3, a), (5, b), (9, c), (9, None), (9, ""), (None, a)])
+    twice = [(3, a), (3, a + " more"), (4, a), (3, b), (3, b)]
+    kept = simhash.keep_near(frame(spark, twice)).select("doc_id", "text").collect()
+    assert sorted(r.doc_id for r in kept) == [3, 3] and {r.text == b for r in kept} == {True, False}
