@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, packing, piece_matching, secret_scan, sharding, simhash, suffix_dedup, token_store, toxicity
+from . import embedding_dedup, exact_dedup, filter_audit, packing, piece_matching, secret_scan, sharding, simhash, suffix_dedup, token_store, toxicity
 
 #: Where the public tokenizers' files are; None asks their package.
 TOKENIZERS: str | None = None
@@ -67,9 +67,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), batches=BATCHES)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_embedding_dedup, op3_suffix_dedup, op4_token_store, op5_secret_scan, op6_simhash, op7_toxicity, op8_sharding, op9_packing, op10_exact_dedup)
+    for f in (
+        op1_sentencepiece, op2_embedding_dedup, op3_suffix_dedup, op4_token_store, op5_secret_scan, op6_simhash, op7_toxicity,
+        op8_sharding, op9_packing, op10_exact_dedup, op13_filter_audit,
+    )
 }
 
 _HEX_DIGIT = "(strpos('0123456789abcdef', substr(md5(CAST(doc_id AS VARCHAR)), {0}, 1)) - 1)"
@@ -137,4 +144,41 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op13_filter_audit": """
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+        ), w AS (
+            SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d
+        ), f AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' ELSE '' END AS fails
+            FROM w
+        ), l AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+        ), c AS (
+            SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+        ), x AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), o AS (
+            SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t
+            WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+        ), e AS (
+            SELECT *, substr(filter_order, step, 1) AS letter, strpos(fails, substr(filter_order, step, 1)) > 0 AS hit,
+                   length(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS gone
+            FROM c, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+        ), s AS (
+            SELECT part, filter_order, step, letter,
+                   sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+            FROM e GROUP BY part, filter_order, step, letter
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM s""",
 }
