@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, filter_audit, packing, piece_matching, secret_scan, sharding, simhash, suffix_dedup, token_store, toxicity
+from . import embedding_dedup, exact_dedup, filter_audit, manifest, packing, piece_matching, quality, secret_scan, sharding, simhash, suffix_dedup, token_store, toxicity
 
 #: Where the public tokenizers' files are; None asks their package.
 TOKENIZERS: str | None = None
@@ -67,6 +67,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), batches=BATCHES)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_manifest(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -75,10 +83,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_embedding_dedup, op3_suffix_dedup, op4_token_store, op5_secret_scan, op6_simhash, op7_toxicity,
-        op8_sharding, op9_packing, op10_exact_dedup, op13_filter_audit,
+        op8_sharding, op9_packing, op10_exact_dedup, op11_quality, op12_merkle_manifest, op13_filter_audit,
     )
 }
 
+_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs name_up (tree, level, j, node, n) and name_runs (tree, level, run, nodes) over leaves (tree, j, node)."""
+    return f"""{name}_up AS (
+            SELECT tree, 0 AS level, j, node, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+            UNION ALL SELECT tree, level + 1, j // 3, sha256(string_agg(node, '' ORDER BY j)), (n + 2) // 3 FROM {name}_up WHERE n > 1 GROUP BY tree, level, j // 3, n
+        ), {name}_runs AS (
+            SELECT tree, level, j // 3 AS run, list(node ORDER BY j) AS nodes FROM {name}_up WHERE n > 1 GROUP BY tree, level, j // 3
+        )"""
+
+
+def _walk_sql(name: str, start: str) -> str:
+    """CTE name_walk: from start (item, tree, j, node, proof) up to the root."""
+    return f"""{name}_walk AS (
+            SELECT item, tree, 0 AS level, j, node, proof FROM {start}
+            UNION ALL SELECT item, w.tree, w.level + 1, j // 3,
+                sha256(array_to_string(nodes[1:j % 3], '') || node || array_to_string(nodes[j % 3 + 2:], '')), proof || array_to_string(nodes[1:j % 3], '') || array_to_string(nodes[j % 3 + 2:], '')
+            FROM {name}_walk w JOIN {name}_runs r ON r.tree IS NOT DISTINCT FROM w.tree AND r.level = w.level AND r.run = w.j // 3
+        ), {name}_end AS (SELECT * FROM {name}_walk QUALIFY level = max(level) OVER (PARTITION BY item))"""
+
+
 _HEX_DIGIT = "(strpos('0123456789abcdef', substr(md5(CAST(doc_id AS VARCHAR)), {0}, 1)) - 1)"
 _HASH = " + ".join(f"CAST({_HEX_DIGIT.format(i + 1)} AS BIGINT) * {16 ** (14 - i)}" for i in range(15))
 
@@ -144,6 +181,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS item, doc_id, source, {_leaf_sql("text")} AS leaf,
+                   CASE WHEN {_CRC} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS changed
+            FROM documents
+        ), leaves AS (
+            SELECT source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j, leaf AS node, * FROM d
+        ), {_tree_sql("own", "leaves")}, subroots AS (
+            SELECT tree AS source, node AS subroot FROM own_up WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS tree, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS j, subroot AS node, source, subroot FROM subroots
+        ), {_tree_sql("all", "tops")}, own_start AS (
+            SELECT item, tree, j, coalesce(changed, leaf) AS node, '' AS proof FROM leaves
+        ), {_walk_sql("own", "own_start")}, all_start AS (
+            SELECT item, 0 AS tree, tops.j, own_end.node, own_end.proof FROM own_end JOIN tops ON tops.source IS NOT DISTINCT FROM own_end.tree
+        ), {_walk_sql("all", "all_start")}
+        SELECT doc_id, leaf, subroot, up.node AS root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = up.node AS verified
+        FROM d JOIN all_end e USING (item) JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source JOIN all_up up ON up.n = 1""",
     "op13_filter_audit": """
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
