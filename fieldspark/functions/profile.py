@@ -82,30 +82,30 @@ def reference(z: Column) -> dict[str, Column]:
     }
 
 
+#: Width of a slot in the logarithm of pressure, about a metre's: a metre of the table lies in one or two.
+SLOT = 1.25e-4
+
+
 def height_of_pressure(rows: DataFrame, table: DataFrame, pressure: str = "pressure") -> DataFrame:
     """rows with height: where the reference air has their pressure (hPa); NULL outside the table.
 
-    Pressure falls with height, so a row's metre is the number of metres with a
-    higher pressure: found by bisection in the sorted pressures, an array of fixed size.
+    A bracketing join: each metre is put under every slot of ln p that it
+    touches, a row under its own, and of the few metres of a slot the one that
+    brackets the row's pressure stays.  The table has a fixed number of rows.
     """
     q, exner = air.narrow(F.col("b")) / 1000, F.col("exner")
     p = 1000 * F.pow(exner, HEAT / GAS) * (1 + q / air.EPSILON)
-    levels = table.select("metre", p.alias("p")).agg(F.sort_array(F.collect_list(F.struct("metre", "p"))).alias("levels"))
-    met = rows.crossJoin(F.broadcast(levels))  # one row
-    size, target = F.size("levels"), F.col(pressure)
-    ends = F.struct(F.lit(1).alias("low"), size.alias("high"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = ((acc["low"] + acc["high"]) / 2).cast("int")
-        above = F.element_at("levels", middle)["p"] >= target
-        return F.struct(F.when(above, middle).otherwise(acc["low"]).alias("low"), F.when(above, acc["high"]).otherwise(middle).alias("high"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(16)), ends, halve)
-    met = met.withColumn("at", found)
-    low, high = F.element_at("levels", F.col("at.low")), F.element_at("levels", F.col("at.high"))
-    inside = (target <= F.element_at("levels", 1)["p"]) & (target > F.element_at("levels", -1)["p"])
-    step = F.try_divide(F.log(low["p"]) - F.log(target), F.log(low["p"]) - F.log(high["p"]))
-    return met.withColumn("height", F.when(inside, low["metre"] + step)).drop("levels", "at")
+    up = Window.orderBy("__metre")  # the metres of one sounding
+    spans = table.select(F.col("metre").alias("__metre"), p.alias("__low")).withColumn("__high", F.lead("__low").over(up)).where("__high IS NOT NULL")
+
+    def slot(of: Column) -> Column:
+        return F.floor(F.log(of) / SLOT)
+
+    spans = spans.withColumn("__slot", F.explode(F.sequence(slot(F.col("__high")), slot(F.col("__low")))))
+    keyed, target = rows.withColumn("__at", slot(F.col(pressure))), F.col(pressure)
+    met = keyed.join(F.broadcast(spans), (F.col("__at") == F.col("__slot")) & (target <= F.col("__low")) & (target > F.col("__high")), "left")
+    step = (F.log("__low") - F.log(target)) / (F.log("__low") - F.log("__high"))
+    return met.withColumn("height", F.col("__metre") + step).drop("__at", "__slot", "__metre", "__low", "__high")
 
 
 def sql(top: int = 16_000) -> str:

@@ -7,21 +7,61 @@ each, and only the sums of a step come to the driver.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.place import new_folder
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder: its lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="fieldspark-"))
-    return df.checkpoint()
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read again: its lineage ends there, and a lost executor costs a read.
+
+    A file, not a checkpoint: what the optimiser infers about a checkpointed
+    table stays with it, and grows with every step of an iteration.
+    """
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class SparseOperator:
+    """H written twice, bucketed by column and by row: products move the vector and the sums, never H.
+
+    The files lie below the shared folder; leaving the context deletes them.
+    """
+
+    def __init__(self, h: DataFrame, buckets: int | None = None):
+        self.spark = h.sparkSession
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths = {k: new_folder(self.spark, f"operator-by-{k}") for k in ("col", "row")}
+        self.names = {k: f"operator_{uuid.uuid4().hex}" for k in self.paths}
+        h = h.select("row", "col", "h")
+        for k, path in self.paths.items():
+            h.repartition(self.buckets, k).write.option("path", path).bucketBy(self.buckets, k).sortBy(k).saveAsTable(self.names[k])
+            h = self.spark.table(self.names[k])
+
+    def product(self, x: DataFrame, *values: str) -> DataFrame:
+        """H times each of the values of x (col, ...), as (row, v), or under the values' names where there are several."""
+        met = self.spark.table(self.names["col"]).join(x.select("col", *[F.col(v).alias(f"__{k}") for k, v in enumerate(values)]), "col")
+        return met.groupBy("row").agg(*[F.sum(F.col("h") * F.col(f"__{k}")).alias(v if len(values) > 1 else "v") for k, v in enumerate(values)])
+
+    def transposed(self, y: DataFrame) -> DataFrame:
+        """H transposed times y (row, v), as (col, v)."""
+        return self.spark.table(self.names["row"]).join(y.select("row", F.col("v").alias("__y")), "row").groupBy("col").agg(F.sum(F.col("h") * F.col("__y")).alias("v"))
+
+    def columns(self) -> DataFrame:
+        return self.spark.table(self.names["col"]).select("col").distinct()
+
+    def __enter__(self) -> SparseOperator:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for k, name in self.names.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[k])
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def product(h: DataFrame, x: DataFrame, value: str) -> DataFrame:
@@ -40,27 +80,25 @@ def conjugate_gradient(h: DataFrame, d: DataFrame, iterations: int = 100, tolera
     Ends when the gradient's norm is tolerance times that at the start, and
     raises where that takes more than the iterations.  Columns of H that no row of d reaches stay out: they
     are zero.  The matrix I + H'WH is positive, so every step goes downhill.
+    H is written once, by row and by column; of a step only the state and sums of rows move.
     """
-    goal = transposed(h, d.select("row", (F.col("weight") * F.col("d")).alias("v")))
-    state = goal.select("col", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p"))
-    start = norm = None
-    for _ in range(iterations):
-        seen = product(h, state, "p").join(d.select("row", "weight"), "row").select("row", (F.col("v") * F.col("weight")).alias("v"))
-        step = state.join(transposed(h, seen), "col", "left").withColumn("q", F.col("p") + F.coalesce("v", F.lit(0.0))).drop("v")
-        step = _settled(step)
-        sums = step.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq")).first()
-        start = sums.rr if start is None else start
-        if not sums.rr or sums.rr <= start * tolerance**2:
-            return step.select("col", "x")
-        along = sums.rr / sums.pq
-        moved = step.select("col", (F.col("x") + along * F.col("p")).alias("x"), (F.col("r") - along * F.col("q")).alias("r"), "p")
-        norm = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = moved.withColumn("p", F.col("r") + norm / sums.rr * F.col("p"))
-        if norm <= start * tolerance**2:
-            break
-    else:
+    with SparseOperator(h) as op:
+        d = settled(d.select("row", "d", "weight"))
+        goal = op.transposed(d.select("row", (F.col("weight") * F.col("d")).alias("v")))
+        state = goal.select("col", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p"))
+        start = None
+        for _ in range(iterations):
+            seen = op.product(state, "p").join(d.select("row", "weight"), "row").select("row", (F.col("v") * F.col("weight")).alias("v"))
+            step = settled(state.join(op.transposed(seen), "col", "left").withColumn("q", F.col("p") + F.coalesce("v", F.lit(0.0))).drop("v"))
+            sums = step.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq"), F.sum(F.col("r") * F.col("q")).alias("rq"), F.sum(F.col("q") * F.col("q")).alias("qq")).first()
+            start = sums.rr if start is None else start
+            if not sums.rr or sums.rr <= start * tolerance**2:
+                return step.select("col", "x")
+            along = sums.rr / sums.pq
+            left = max(sums.rr - 2 * along * sums.rq + along**2 * sums.qq, 0.0)  # the next residual's square, without a pass for it
+            r = F.col("r") - along * F.col("q")
+            state = step.select("col", (F.col("x") + along * F.col("p")).alias("x"), r.alias("r"), (r + left / sums.rr * F.col("p")).alias("p"))
         raise RuntimeError(f"the minimiser did not reach its tolerance in {iterations} iterations")
-    return state.select("col", "x")
 
 
 def cost(h: DataFrame, d: DataFrame, x: DataFrame) -> float:

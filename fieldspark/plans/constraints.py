@@ -72,12 +72,12 @@ def flt15_zero_weights(spark, sf_dir):
     return gates(spark, sf_dir).agg(F.count("*").alias("equations"), F.count(F.when(F.col("sw") == 0, 1)).alias("without_weight"))
 
 
-@registered(f"""WITH {OBS}, s AS (SELECT event_id, speed, (wdir + 180) % 360 AS d FROM obs WHERE event_id % 10 <= 5 AND speed IS NOT NULL)
+@registered(f"""WITH {OBS}, s AS (SELECT event_id, speed, (wdir + 180) % 360 AS d FROM obs WHERE z <= 7500 AND speed IS NOT NULL)
     SELECT event_id, CAST(0 AS INTEGER) AS variable, round(-speed * sin(radians(d)), 4) + 0 AS value, round(0.4::DOUBLE, 4) AS inverse_error FROM s
     UNION ALL SELECT event_id, 1, round(-speed * cos(radians(d)), 4) + 0, round(0.4::DOUBLE, 4) FROM s""")
 def prj06_scatterometer(spark, sf_dir):
-    """Winds given by where they blow to; rows of a rain probability over one half go."""
-    rows = observations(spark, sf_dir).where("event_id % 10 <= 5 AND speed IS NOT NULL")
+    """Winds given by where they blow to; rows of a rain probability over one half go: here it grows with height, to 1 at 15 km."""
+    rows = observations(spark, sf_dir).where("z / 15000 <= 0.5 AND speed IS NOT NULL")
     towards = (F.col("wdir") + 180) % 360
     u, v = wind.eastward(F.col("speed"), towards), wind.northward(F.col("speed"), towards)
     each = F.array(*[F.struct(F.lit(k).alias("variable"), c.alias("value"), F.lit(1 / 2.5).alias("inverse_error")) for k, c in enumerate((u, v))])

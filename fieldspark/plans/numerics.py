@@ -132,12 +132,3 @@ def dg07_cylindrical(spark, sf_dir):
     d = _fields(spark).withColumns({"du": _difference("u", "ix", "iy"), "dv": _difference("v", "ix", "iy")})
     r, c = F.col("ix"), F.col
     return rounded(d.select("ix", "iy", F.when(r > 0, c("du") + c("u") / r).alias("divergence"), F.when(r > 0, c("dv") + c("v") / r).alias("vorticity")), "ix", "iy")
-
-
-@registered()
-def sol11_conjugate_gradient(spark, sf_dir):
-    """The state of least cost for the equations that line items make of parts."""
-    lines = read(spark, sf_dir, "lineitem")
-    h = lines.groupBy(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col")).agg((F.sum("l_quantity") / 50).alias("h"))
-    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_totalprice") / 100_000).alias("d"), F.lit(0.2).alias("weight"))
-    return rounded(solve.conjugate_gradient(h, d, tolerance=1e-9), "col")
