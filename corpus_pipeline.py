@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the docs of the next.
+
+All stages take nulls in any column, empty and very long texts, repeated rows
+and further columns of any name; an empty table goes through as one.  A null
+text is empty.  Equal texts, null and empty ones among them, are one document
+after exact dedup; rows without an id or a word are no near copies of any.
+Ids may repeat: rows of one id are told apart by their texts.
 """
 
 from __future__ import annotations

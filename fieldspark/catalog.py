@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import algebra, analysis, constraints, equations, files, grids, numerics, ordered, profiles, rays  # noqa: F401
+from .plans import algebra, analysis, constraints, equations, files, grids, numerics, ordered, profiles, rays, volumes  # noqa: F401
 from .plans.tables import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "prj03_insitu_equations"

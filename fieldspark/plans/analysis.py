@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, lines, minimise, solve, sparse
+from ..operators import grid, lines, minimise, outer, solve, sparse
+from ..sources.place import new_folder
 from .algebra import CUBE
 from .tables import SAMPLES, read, registered, rounded, samples
 
@@ -190,3 +191,16 @@ def sol11_nonlinear_betas(spark, sf_dir):
             one = found.state.select(F.lit(beta).alias("beta"), "col", (F.col("g") / first).alias("gradient"))
             out = one if out is None else out.unionByName(one)
     return rounded(out, "beta", "col", places=2)
+
+
+@registered("SELECT DISTINCT p_size AS col, 0.0::DOUBLE AS gradient FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey")
+def sol13_outer_iterations(spark, sf_dir):
+    """The background fitted to half the weight of its samples, then two iterations with settings of their own: the gradient of the last step's cost, worked out anew."""
+    h, d = _problem(spark, sf_dir, "p_size")
+    weighted = [d.withColumn("weight", F.col("weight") * w) for w in (0.5, 1.0, 2.0)]
+    steps = [lambda w=w: outer.Step(h, w, tolerance=1e-6) for w in weighted]
+    found = outer.run(spark, new_folder(spark, "outer"), steps)
+    field = solve.product(h, found, "x")
+    miss = d.join(field, "row").select("row", (F.col("weight") * 2 * (F.col("v") - F.col("d"))).alias("v"))
+    out = found.join(solve.transposed(h, miss), "col").select("col", (F.col("dx") + F.col("v")).alias("gradient"))
+    return rounded(out, "col", places=4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import projection, radar, wind
 from ..operators import grid
 from .equations import _FALL, _blend
-from .grids import _NODES, AXES
+from .grids import _MESH, bounded
 from .tables import GATES, OBS, SAMPLES, gates, observations, registered, rounded, samples
 
 
@@ -115,11 +115,11 @@ def prj12_water_equations(spark, sf_dir):
     return rounded(gates(spark, sf_dir).where("dbz IS NOT NULL").select("ray", "gate", F.lit(6).alias("variable"), air.widen(content).alias("value")), "ray", "gate", "variable")
 
 
-@registered(f"WITH {_NODES} SELECT ix, iy, 0.0::DOUBLE AS value, 0.5::DOUBLE AS inverse_error, 1.0::DOUBLE AS du_dx, 1.0::DOUBLE AS dv_dy FROM nx, ny")
+@registered(f"WITH {_MESH} SELECT ix, iy, iz, 0.0::DOUBLE AS value, 0.5::DOUBLE AS inverse_error, 1.0::DOUBLE AS du_dx, 1.0::DOUBLE AS dv_dy, 1.0::DOUBLE AS dw_dz FROM mx, my, mz")
 def prj17_mass_continuity(spark, sf_dir):
-    """A row of every mesh node: the divergence of momentum is zero."""
-    nodes = grid.mesh(spark, AXES)
-    return nodes.select("ix", "iy", F.lit(0.0).alias("value"), F.lit(0.5).alias("inverse_error"), F.lit(1.0).alias("du_dx"), F.lit(1.0).alias("dv_dy"))
+    """A row of every node of a mesh over the samples' domain: the divergence of momentum is zero."""
+    nodes = grid.mesh(spark, bounded(samples(spark, sf_dir), {"x": 2.0, "y": 2.0, "z": 10.0}))
+    return nodes.select("ix", "iy", "iz", F.lit(0.0).alias("value"), F.lit(0.5).alias("inverse_error"), *[F.lit(1.0).alias(f"d{u}_d{a}") for u, a in zip("uvw", "xyz", strict=True)])
 
 
 @registered(f"""WITH {GATES}, t AS (SELECT ray, max(distance) AS top FROM gates WHERE dbz IS NOT NULL GROUP BY ray)

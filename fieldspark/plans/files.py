@@ -154,9 +154,12 @@ def src39_terrain(spark, sf_dir):
     return text.read_text(spark, path, "terrain").select("x", "y", F.round("height", 2).alias("height"))
 
 
-@registered("SELECT z, theta, q FROM (VALUES " + ", ".join(f"({z}::DOUBLE, {t}::DOUBLE, {q}::DOUBLE)" for z, t, q in profile.LEVELS) + ") l(z, theta, q)")
+@registered("SELECT p_size * 400.0::DOUBLE AS z, round(298 + p_size * 1.5::DOUBLE + count(*) % 7 / 10.0::DOUBLE, 2) AS theta, round(18 - p_size * 0.3::DOUBLE, 2) AS q FROM part GROUP BY p_size")
 def src38_sounding(spark, sf_dir):
-    """A reference sounding as text; the levels themselves do not depend on the tables."""
+    """A reference sounding as text: a level for each size of part, warmer and drier upwards."""
+    size = F.col("p_size")
+    levels = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_size").agg(F.count("*").alias("n"))
+    levels = levels.select((size * 400.0).alias("z"), F.round(298 + size * 1.5 + F.col("n") % 7 / 10, 2).alias("theta"), F.round(18 - size * 0.3, 2).alias("q"))
     path = new_folder(spark, "sounding")
-    profile.sounding(spark).select(F.concat_ws(" ", "z", "theta", "q", F.lit("0 0")).alias("value")).write.text(path)
+    levels.select(F.concat_ws(" ", "z", "theta", "q", F.lit("0 0")).alias("value")).write.text(path)
     return text.read_text(spark, path, "sounding").select("z", "theta", "q")

@@ -62,9 +62,22 @@ def agg05_nearest_mean(spark, sf_dir):
     return rounded(found.groupBy("point").agg(F.count("*").alias("n_near"), F.avg("value").alias("mean"), F.max("distance").alias("farthest")), "point", "n_near")
 
 
-@registered("WITH n AS (SELECT unnest(range(0, 9)) AS i) SELECT CAST(a.i AS INTEGER) AS ix, CAST(b.i AS INTEGER) AS iy, CAST(c.i AS INTEGER) AS iz, a.i * 0.5::DOUBLE AS x, b.i * 0.5::DOUBLE - 2 AS y, c.i * 0.25::DOUBLE AS z FROM n a, n b, n c")
+def bounded(points, steps: dict[str, float]) -> dict[str, tuple[int, float, float]]:
+    """The axes of a mesh that starts at the least coordinate of the points and holds one node a step up to the greatest."""
+    ends = points.agg(*[f(c).alias(f"{n}_{c}") for c in steps for n, f in (("low", F.min), ("high", F.max))]).first()  # one row
+    return {c: (int((ends[f"high_{c}"] - ends[f"low_{c}"]) / step) + 1, ends[f"low_{c}"], step) for c, step in steps.items()}
+
+
+_MESH = SAMPLES + ", e AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM samples), " + ", ".join(
+    f"m{a} AS (SELECT CAST(unnest(range(0, CAST(floor(({a}1 - {a}0) / {step}::DOUBLE) AS BIGINT) + 1)) AS INTEGER) AS i{a} FROM e)" for a, step in (("x", 2.0), ("y", 2.0), ("z", 10.0))
+)
+
+
+@registered(f"WITH {_MESH} SELECT ix, iy, iz, x0 + ix * 2.0::DOUBLE AS x, y0 + iy * 2.0::DOUBLE AS y, z0 + iz * 10.0::DOUBLE AS z FROM e, mx, my, mz")
 def jn08_mesh(spark, sf_dir):
-    return grid.mesh(spark, {"x": (9, 0.0, 0.5), "y": (9, -2.0, 0.5), "z": (9, 0.0, 0.25)}).select("ix", "iy", "iz", "x", "y", "z")
+    """Every node of a mesh over the samples' domain."""
+    axes = bounded(samples(spark, sf_dir), {"x": 2.0, "y": 2.0, "z": 10.0})
+    return grid.mesh(spark, axes).select("ix", "iy", "iz", "x", "y", "z")
 
 
 @registered(f"""WITH {GATES} SELECT ray, CAST(gate // 3 AS INTEGER) AS block, round(avg(vr), 4) AS vr, round(avg(sw), 4) AS sw,

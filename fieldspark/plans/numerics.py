@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import air, spline, wind
-from ..operators import grid, solve
+from ..operators import grid
 from .grids import _B, _NODES, AXES
 from .tables import GATES, OBS, SAMPLES, VAPOR, WIND, gates, observations, read, registered, rounded, samples
 
@@ -82,19 +82,20 @@ def prj16_density_scaling(spark, sf_dir):
     return rounded(found.select("point", "density", (F.col("value") * F.col("density")).alias("scaled")), "point")
 
 
-@registered("""WITH z AS (SELECT CAST(unnest(range(10, 2011)) AS BIGINT) AS z), s AS (
-        SELECT z, sum(CASE WHEN z = 10 THEN 0 ELSE -9.81::DOUBLE / (1005.7::DOUBLE * (300 + 0.004::DOUBLE * (z - 0.5::DOUBLE))) END) OVER (ORDER BY z) AS fallen FROM z)
+@registered(f"""WITH {OBS}, g AS (SELECT avg(temperature + 0.0098::DOUBLE * z) AS theta FROM obs), z AS (SELECT CAST(unnest(range(10, 2011)) AS BIGINT) AS z), s AS (
+        SELECT z, sum(CASE WHEN z = 10 THEN 0 ELSE -9.81::DOUBLE / (1005.7::DOUBLE * (theta + 0.004::DOUBLE * (z - 0.5::DOUBLE))) END) OVER (ORDER BY z) AS fallen FROM z, g)
     SELECT z, round(pow(1.0125::DOUBLE, 287.04::DOUBLE / 1005.7::DOUBLE) + fallen, 8) AS exner FROM s""")
 def fn26_hydrostatic_exner(spark, sf_dir):
-    """Exner's function from 10 m up in steps of a metre: a profile of 2001 levels, whatever the data."""
+    """Exner's function from 10 m up in steps of a metre, over air as warm at the ground as the observations say: 2001 levels."""
     z = F.col("z")
-    step = F.when(z == 10, 0.0).otherwise(-9.81 / (1005.7 * (300 + 0.004 * (z - 0.5))))
-    levels = spark.range(10, 2011).select(F.col("id").alias("z")).withColumn("step", step)
-    fallen = F.sum("step").over(Window.orderBy("z").rowsBetween(Window.unboundedPreceding, 0))
+    ground = observations(spark, sf_dir).agg(F.avg(F.col("temperature") + 0.0098 * z).alias("theta"))
+    step = F.when(z == 10, 0.0).otherwise(-9.81 / (1005.7 * (F.col("theta") + 0.004 * (z - 0.5))))
+    levels = ground.select("theta", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(2010).cast("long"))).alias("z")).withColumn("step", step)
+    fallen = F.sum("step").over(Window.orderBy("z").rowsBetween(Window.unboundedPreceding, 0))  # the metres of one sounding
     return levels.select("z", F.round(1.0125 ** (287.04 / 1005.7) + fallen, 8).alias("exner"))
 
 
-_FIELDS = f"""{_NODES}, f AS (SELECT ix, iy, sin(ix * 0.3::DOUBLE) * (1 + iy * 0.1::DOUBLE) AS u, cos(iy * 0.2::DOUBLE) + ix * 0.05::DOUBLE AS v, 1.2::DOUBLE - ix * 0.01::DOUBLE AS rho FROM nx, ny
+_FIELDS = f"""{SAMPLES}, {_NODES}, f AS (SELECT ix, iy, coalesce(sum(value), 0) / 997 AS u, coalesce(sum(z), 0) / 97 AS v, 1.2::DOUBLE - ix * 0.01::DOUBLE AS rho FROM nx CROSS JOIN ny LEFT JOIN samples ON floor(x) = ix AND floor(y) = iy GROUP BY ix, iy
 ), m AS (SELECT *, rho * u AS ru, rho * v AS rv FROM f)"""
 
 
@@ -103,9 +104,11 @@ def _slope(value, axis, other):
     return f"(coalesce(lead({value}) {w}, {value}) - coalesce(lag({value}) {w}, {value})) / (CASE WHEN lead({value}) {w} IS NULL OR lag({value}) {w} IS NULL THEN 1 ELSE 2 END)"
 
 
-def _fields(spark):
-    x, y = F.col("ix"), F.col("iy")
-    rows = grid.mesh(spark, AXES).select("ix", "iy", (F.sin(x * 0.3) * (1 + y * 0.1)).alias("u"), (F.cos(y * 0.2) + x * 0.05).alias("v"), (1.2 - x * 0.01).alias("rho"))
+def _fields(spark, sf_dir):
+    """Winds on the nodes of a plane: sums of the samples in each cell."""
+    held = samples(spark, sf_dir).groupBy(F.floor("x").cast("int").alias("ix"), F.floor("y").cast("int").alias("iy")).agg((F.sum("value") / 997).alias("u"), (F.sum("z") / 97).alias("v"))
+    rows = grid.mesh(spark, AXES).select("ix", "iy").join(held, ["ix", "iy"], "left")
+    rows = rows.select("ix", "iy", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "uv"], (1.2 - F.col("ix") * 0.01).alias("rho"))
     return rows.withColumns({"ru": F.col("rho") * F.col("u"), "rv": F.col("rho") * F.col("v")})
 
 
@@ -119,7 +122,7 @@ def _difference(value, axis, other):
 @registered(f"""WITH {_FIELDS}, d AS (SELECT *, {_slope('ru', 'ix', 'iy')} AS dru, {_slope('rv', 'iy', 'ix')} AS drv, {_slope('rho', 'ix', 'iy')} AS drx, {_slope('rho', 'iy', 'ix')} AS dry FROM m)
     SELECT ix, iy, round(100 * (dru - u * drx) / rho, 4) + 0 AS du_dx, round(100 * (drv - v * dry) / rho, 4) + 0 AS dv_dy, round(dru + drv, 6) + 0 AS residual FROM d""")
 def dg05_gradients_and_residual(spark, sf_dir):
-    d = _fields(spark).withColumns({"dru": _difference("ru", "ix", "iy"), "drv": _difference("rv", "iy", "ix"), "drx": _difference("rho", "ix", "iy"), "dry": _difference("rho", "iy", "ix")})
+    d = _fields(spark, sf_dir).withColumns({"dru": _difference("ru", "ix", "iy"), "drv": _difference("rv", "iy", "ix"), "drx": _difference("rho", "ix", "iy"), "dry": _difference("rho", "iy", "ix")})
     c = F.col
     d = d.select("ix", "iy", (100 * (c("dru") - c("u") * c("drx")) / c("rho")).alias("du_dx"), (100 * (c("drv") - c("v") * c("dry")) / c("rho")).alias("dv_dy"), (F.round(c("dru") + c("drv"), 6) + 0.0).alias("residual"))
     return rounded(d, "ix", "iy", "residual")
@@ -129,6 +132,6 @@ def dg05_gradients_and_residual(spark, sf_dir):
     SELECT ix, iy, round(CASE WHEN ix > 0 THEN du + u / ix END, 4) + 0 AS divergence, round(CASE WHEN ix > 0 THEN dv + v / ix END, 4) + 0 AS vorticity FROM d""")
 def dg07_cylindrical(spark, sf_dir):
     """Terms of a cylindrical grid, ix the radius; missing on the axis."""
-    d = _fields(spark).withColumns({"du": _difference("u", "ix", "iy"), "dv": _difference("v", "ix", "iy")})
+    d = _fields(spark, sf_dir).withColumns({"du": _difference("u", "ix", "iy"), "dv": _difference("v", "ix", "iy")})
     r, c = F.col("ix"), F.col
     return rounded(d.select("ix", "iy", F.when(r > 0, c("du") + c("u") / r).alias("divergence"), F.when(r > 0, c("dv") + c("v") / r).alias("vorticity")), "ix", "iy")

@@ -16,11 +16,11 @@ def _referenced(spark, sf_dir):
     return profile.with_reference(observations(spark, sf_dir), profile.metres(profile.sounding(spark)))
 
 
-@registered(f"WITH {profile.sql(40_000)} SELECT metre, round(theta, 6) AS theta, round(exner, 8) AS exner FROM prof WHERE theta_1 IS NOT NULL")
+@registered(_REF + " SELECT event_id, round(ref_theta, 6) AS theta, round(ref_exner, 8) AS exner, round(slope_exner, 10) + 0 AS slope FROM refd")
 def fn26_reference_exner(spark, sf_dir):
-    """Hydrostatic integration of the reference sounding, a metre a step."""
-    table = profile.metres(profile.sounding(spark))
-    return table.where("metre < 39999").select("metre", F.round("theta", 6).alias("theta"), F.round("exner", 8).alias("exner"))
+    """Hydrostatic integration of the reference sounding, a metre a step, at each observation's height."""
+    rows = _referenced(spark, sf_dir)
+    return rows.select("event_id", F.round("ref_theta", 6).alias("theta"), F.round("ref_exner", 8).alias("exner"), (F.round("slope_exner", 10) + 0.0).alias("slope"))
 
 
 @registered(_REF + """ SELECT event_id, round(ref_b, 6) AS b, round(rt, 4) AS temperature, round(rdry, 6) AS dry, round(rmoist, 6) AS moist, round(rp, 2) AS pressure, round(rh, 2) AS energy,

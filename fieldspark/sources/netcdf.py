@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 # fixed values of the format: tags, and types by their number
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-NUMBERS = {v: k for k, v in TYPES.items()}
+NUMBERS = {np.dtype(v).str: k for k, v in TYPES.items()}
 ROWS = 1 << 16
 
 
@@ -148,7 +148,7 @@ def planned(h: Header) -> bytes:
             else:
                 kind = ">i4" if isinstance(v, int) else ">f4" if isinstance(v, np.float32) else ">f8"
                 raw, many = np.atleast_1d(v).astype(kind).tobytes(), np.size(v)
-            out += name(k) + struct.pack(">ii", NUMBERS[kind], many) + raw + b"\0" * (-len(raw) % 4)
+            out += name(k) + struct.pack(">ii", NUMBERS[np.dtype(kind).str], many) + raw + b"\0" * (-len(raw) % 4)
         return out
 
     names = list(h.dims)
@@ -159,7 +159,7 @@ def planned(h: Header) -> bytes:
         out += attributes(h.attributes) + struct.pack(">ii", VARIABLE, len(h.variables))
         for k, v in h.variables.items():
             out += name(k) + struct.pack(">i", len(v.dims)) + b"".join(struct.pack(">i", names.index(d)) for d in v.dims)
-            out += attributes(v.attributes) + struct.pack(">iI", NUMBERS[v.kind], min(v.size + -v.size % 4, 0xFFFFFFFF)) + struct.pack(">q", v.begin)
+            out += attributes(v.attributes) + struct.pack(">iI", NUMBERS[np.dtype(v.kind).str], min(v.size + -v.size % 4, 0xFFFFFFFF)) + struct.pack(">q", v.begin)
         return out
 
     at = len(whole())
@@ -295,28 +295,30 @@ class NetcdfWriter(DataSourceArrowWriter):
     hidden: str = field(default="")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        shape = [self.header.length(d) for d in self.dims]
-        rows = 0
-        handle = os.open(self.hidden, os.O_WRONLY)
+        rows, handle = 0, os.open(self.hidden, os.O_WRONLY)
         try:
             for batch in iterator:
-                index = [batch.column(batch.schema.get_field_index(f"i{d}")).to_numpy(zero_copy_only=False) for d in self.dims]
-                at = np.ravel_multi_index(index, shape).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.diff(at[order]) != 1) + 1
-                starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
+                index = {d: batch.column(batch.schema.get_field_index(f"i{d}")).to_numpy(zero_copy_only=False) for d in self.dims}
                 for name in self.fields:
-                    v = self.header.variables[name]
-                    column = batch.column(batch.schema.get_field_index(name)).cast(pa.float64())
-                    raw = column.fill_null(float(v.attributes["_FillValue"])).to_numpy(zero_copy_only=False)[order].astype(v.kind)
-                    for a, b in zip(starts, ends, strict=True):
-                        if b > a:
-                            os.pwrite(handle, raw[a:b].tobytes(), v.begin + int(at[order[a]]) * raw.itemsize)
-                rows += len(at)
+                    self._put(handle, batch, index, name)
+                rows += batch.num_rows
         finally:
             os.close(handle)
         return _Done(rows)
 
+    def _put(self, handle: int, batch: pa.RecordBatch, index: dict[str, np.ndarray], name: str) -> None:
+        """Writes a field's values as runs of neighbours; one that lacks a dimension is written where that is 0."""
+        v = self.header.variables[name]
+        some = np.flatnonzero(np.logical_and.reduce([index[d] == 0 for d in self.dims if d not in v.dims])) if len(v.dims) < len(self.dims) else np.arange(batch.num_rows)
+        at = np.ravel_multi_index([index[d][some] for d in v.dims], [self.header.length(d) for d in v.dims]).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.diff(at[order]) != 1) + 1
+        column = batch.column(batch.schema.get_field_index(name)).cast(pa.float64())
+        raw = column.fill_null(float(v.attributes["_FillValue"])).to_numpy(zero_copy_only=False)[some][order].astype(v.kind)
+        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]), strict=True):
+            if b > a:
+                os.pwrite(handle, raw[a:b].tobytes(), v.begin + int(at[order[a]]) * raw.itemsize)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         wanted = int(np.prod([self.header.length(d) for d in self.dims], dtype=np.int64))
         if sum(m.rows for m in messages if m) != wanted:
@@ -347,17 +349,19 @@ class Netcdf(DataSource):
         path = urlparse(self.options["path"]).path
         if not overwrite and os.path.exists(path):
             raise FileExistsError(path)
-        dims = {k: len(v) for k, v in told["axes"].items()}
-        variables = {k: Variable([k], ">f8", told["about"].get(k, {})) for k in dims}
-        missing = {"missing_value": np.float32(told["missing"]), "_FillValue": np.float32(told["missing"])}
-        variables |= {k: Variable(list(dims), ">f4", told["about"].get(k, {}) | missing) for k in told["fields"]}
+        axes = {k: v for k, v in told["axes"].items() if isinstance(v, list)}
+        dims = {k: len(axes[k]) if k in axes else v for k, v in told["axes"].items()}
+        variables = {k: Variable([k], ">f8", told["about"].get(k, {})) for k in axes}
+        kind, number = (">f8", float) if told["doubles"] else (">f4", np.float32)
+        missing = {"missing_value": number(told["missing"]), "_FillValue": number(told["missing"])}
+        variables |= {k: Variable(told["along"].get(k, list(dims)), kind, told["about"].get(k, {}) | missing) for k in told["fields"]}
         header = Header(dims, told["attributes"], variables)
         raw = planned(header)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         hidden = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex}"
         with open(hidden, "wb") as f:
             f.write(raw)
-            for k, values in told["axes"].items():
+            for k, values in axes.items():
                 f.seek(variables[k].begin)
                 f.write(np.array(values, ">f8").tobytes())
             f.truncate(max(v.begin + v.size for v in variables.values()))
@@ -370,15 +374,19 @@ def read_netcdf(spark: SparkSession, path: str, schema: str, **options: object)
     return spark.read.format("netcdf3").schema(schema).options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
-def write_netcdf(grid: DataFrame, path: str, axes: dict[str, list[float]], fields: list[str], about: dict[str, dict] | None = None, attributes: dict | None = None, missing: float = -999.0) -> None:
-    """Writes grid (i<axis> of every axis, and the fields) as one file; axes, outer first, have the coordinates of their nodes.
+def write_netcdf(
+    grid: DataFrame, path: str, axes: dict[str, list[float] | int], fields: list[str], about: dict[str, dict] | None = None, attributes: dict | None = None,
+    missing: float = -999.0, doubles: bool = False, along: dict[str, list[str]] | None = None,
+) -> None:
+    """Writes grid (i<axis> of every axis, and the fields) as one file; axes, outer first, have their nodes' coordinates, or a length alone.
 
     Every node has to have one row; a NULL field is written as missing.  about
-    has attributes by axis or field, such as units.
+    has attributes by axis or field, such as units; along the axes of fields
+    that do not depend on all: their values are those of the rows where the others are 0.
     """
     grid.sparkSession.dataSource.register(Netcdf)
-    first = f"i{next(iter(axes))}"
-    told = {"axes": axes, "fields": fields, "about": about or {}, "attributes": attributes or {}, "missing": missing}
+    told = {"axes": axes, "fields": fields, "about": about or {}, "attributes": attributes or {}, "missing": missing, "doubles": doubles, "along": along or {}}
     rows = grid.select(*[F.col(f"i{a}").cast("long").alias(f"i{a}") for a in axes], *[F.col(f).cast("double").alias(f) for f in fields])
-    rows = rows.repartitionByRange(first).sortWithinPartitions(*[f"i{a}" for a in axes])  # runs of neighbouring nodes
+    nodes = [f"i{a}" for a in axes]
+    rows = rows.repartitionByRange(*nodes).sortWithinPartitions(*nodes)  # runs of neighbouring nodes
     rows.write.format("netcdf3").option("header", json.dumps(told)).mode("append").save(path)
