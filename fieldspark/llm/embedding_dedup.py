@@ -214,6 +214,7 @@ def embedding_dedup(
     non-finite components link with nothing, as do rows without vec_id and
     vectors of different lengths.  Equal vectors are compared once and link
     with each other; rows that share a vec_id are one node of the components.
+    A cosine of exactly the threshold links.  An empty table gives an empty one.
     The forest is approximate: the README has its measured recall.
     """
     spark = vectors.sparkSession

@@ -285,7 +285,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, ids_crc32, restored (decoding gives the text again)."""
+    """One row for each row of docs: doc_id, n_tokens, ids_crc32, restored (decoding gives the text again).
+
+    A null text is empty and has no tokens; a very long one is encoded whole,
+    word by word.  Of equal scores the same edge wins everywhere, and repeated
+    rows are encoded alike.  An empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher.of(model)

@@ -106,7 +106,9 @@ def written_shards(docs: DataFrame, limit: int, path: str | None = None, id_col:
     """Writes the shards and says what their files hold: doc_id, n_bytes, local_depth, shard, shard_bytes, shard_rows.
 
     All of it is read back; a shard whose rows or bytes are not those of the
-    directory fails the job.
+    directory fails the job.  A null text has no bytes; a text longer than the
+    limit, and rows that share a doc_id, make a shard that no split makes
+    smaller.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "sharded")

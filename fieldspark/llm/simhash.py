@@ -173,7 +173,8 @@ def simhash_dedup(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", tex
     text has fingerprint 0, which links like any other.  Rows with a null
     doc_id get a fingerprint and the component of it; where no row of a
     component has an id, component_id is null.  Rows that repeat a doc_id each
-    have their own row.
+    have their own row.  Very long texts count whole; a bit that exactly half
+    of the shingles set is 0.  An empty table gives an empty one.
     """
     if not 1 <= radius <= 2:
         raise ValueError("the four-part tables are exact for a radius of 1 or 2")

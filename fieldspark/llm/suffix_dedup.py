@@ -231,7 +231,8 @@ def suffix_dedup(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text
     starts in a document with a smaller doc_id.  Texts are UTF-8 bytes, null
     is empty.  Strings are judged on the input.  Rows that share a doc_id
     remove nothing from each other; rows without one keep everything and
-    remove nothing.
+    remove nothing.  Very long texts are compared whole.  An empty table gives
+    an empty one.
     """
     spark = docs.sparkSession
     cover_for(length)

@@ -312,7 +312,13 @@ def crc32_combine(a: int, b: int, b_bytes: int) -> int:
 
 
 def store_checksums(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
-    """Writes a store of docs, verifies it and returns what its files say of each document."""
+    """Writes a store of docs, verifies it and returns what its files say of each document.
+
+    A null text is empty: its end id alone.  Very long texts are encoded whole
+    and cut into as many chunks as it takes.  Rows that share a doc_id stand
+    next to each other, each with a recipe of its own.  An empty table gives
+    an empty one.
+    """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-store")
     write_store(docs, path, tokenizer, end_id)
