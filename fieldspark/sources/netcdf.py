@@ -204,7 +204,7 @@ def _values(h: Header, v: Variable, f, first: int, last: int) -> np.ndarray:
 class NetcdfReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema, self.path = schema, options["path"]
-        self.rows_a_task, self.dims = int(options.get("rowsPerTask", ROWS)), options.get("dims", "")
+        self.rows_a_task, self.dims = int(options.get("rowspertask", ROWS)), options.get("dims", "")
 
     def _files(self) -> list[str]:
         files, at = _opened(self.path)
@@ -342,7 +342,7 @@ class Netcdf(DataSource):
         raise ValueError("give the schema: its columns are the variables that are read")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return NetcdfReader(schema, dict(self.options))
+        return NetcdfReader(schema, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         told = json.loads(self.options["header"])
