@@ -37,3 +37,25 @@ def decoded(rays: DataFrame, key: str, words: str, missing: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), values], names=[key, "values"])
 
     return rays.select(key, words).mapInArrow(run, f"{key} long, values array<int>")
+
+
+def encode(values: np.ndarray, missing: int) -> np.ndarray:
+    """16-bit values as such words: runs of missing ones, of at least two since 1 ends, and literal runs."""
+    gone = values == missing
+    cuts = np.flatnonzero(np.diff(gone.astype(np.int8))) + 1
+    words, plain = [], []
+
+    def literal() -> None:
+        if plain:
+            held = np.concatenate(plain)
+            words.append(np.concatenate([[len(held) | LITERAL], held.view(np.uint16)]).astype(np.uint16))
+            plain.clear()
+
+    for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):
+        if b - a > 1 and gone[a]:
+            literal()
+            words.append(np.array([b - a], np.uint16))
+        elif b > a:
+            plain.append(values[a:b].astype(np.int16))
+    literal()
+    return np.concatenate([*words, np.array([END], np.uint16)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import profile
 from ..sources import flights, text
 from ..sources.place import new_folder
-from .tables import OBS, observations, registered
+from .tables import COLUMNS, OBS, columns, observations, registered, rounded
 
 _FLOWN = f"""WITH {OBS}, flown AS (
     SELECT event_id, second, second // 86400 * 86400 AS day, 20 + x AS latitude, y - 60 AS longitude, z AS altitude, round(pressure, 1) AS pressure, round(temperature - 273.15::DOUBLE, 1) AS t,
@@ -28,11 +28,12 @@ def _shown(name: str, places: int = 2, missing: str = "-999"):
 
 
 def _there_and_back(spark, rows, kind: str, header, *fields):
-    """A file for each day: its lines are written, then read as a kind."""
-    line = F.concat_ws(" ", *fields)
-    days = rows.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    path = new_folder(spark, f"flights-{kind}")
-    flights.write_files(days.select(F.concat(F.lit("d"), "day").alias("name"), F.concat(header, F.lit("\n"), F.col("lines")).alias("content")), path)
+    """A file for each day: its header and lines are written, then read as a kind."""
+    path, name = new_folder(spark, f"flights-{kind}"), F.concat(F.lit("d"), "day").alias("name")
+    data = rows.select(name, F.col("event_id").alias("number"), F.concat_ws(" ", *fields).alias("value"))
+    heads = rows.select("day").distinct().select(name, F.posexplode(F.split(header, "\n")).alias("place", "value"))
+    heads = heads.select("name", (F.col("place") - 1000).cast("long").alias("number"), "value")
+    flights.write_flights(heads.unionByName(data), path)
     return flights.read_flights(spark, path, kind)
 
 
@@ -41,8 +42,6 @@ def _told(rows, *plain):
     return rows.select("second", *plain, *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
 
-
-
 @registered(_FLOWN + f""", h AS (SELECT *, {_K.format('t')} AS temperature, CAST(event_id % 90 + 5 AS DOUBLE) AS rh FROM flown), s AS (
         SELECT *, ln(exp(5.0065::DOUBLE * ln(273.15::DOUBLE / temperature)) * exp(24.84573::DOUBLE * (1 - 273.15::DOUBLE / temperature)) * rh / 100) AS u FROM h)
     SELECT second, latitude, longitude, altitude, pressure, temperature, round(237.3::DOUBLE * u / (17.2694::DOUBLE - u) + 273.15::DOUBLE, 4) AS dewpoint, direction, speed FROM s""")
@@ -163,3 +162,26 @@ def src38_sounding(spark, sf_dir):
     path = new_folder(spark, "sounding")
     levels.select(F.concat_ws(" ", "z", "theta", "q", F.lit("0 0")).alias("value")).write.text(path)
     return text.read_text(spark, path, "sounding").select("z", "theta", "q")
+
+
+@registered(f"""WITH {COLUMNS}, g AS (SELECT CAST(unnest(range(1, 24)) AS INTEGER) AS gate), r AS (SELECT DISTINCT ray FROM columns)
+    SELECT r.ray AS second, CAST(90 - r.ray % 360 AS DOUBLE) AS azimuth, CAST(r.ray % 60 AS DOUBLE) AS elevation, g.gate * 150.0::DOUBLE + 1000 AS distance, 20.5::DOUBLE AS latitude, -60.25::DOUBLE AS longitude, 3000.0::DOUBLE AS altitude,
+           10.0::DOUBLE AS reflectivity, round(coalesce(round(vr * 10), g.gate) / 10, 4) + 0 AS velocity
+    FROM r CROSS JOIN g LEFT JOIN columns c ON c.ray = r.ray AND c.gate = g.gate WHERE g.gate % 9 <> 8""")
+def src26_radials(spark, sf_dir):
+    """Radials of 23 gates on three lines each, in files that many tasks share; the eighth gate of nine is missing."""
+    held = columns(spark, sf_dir).groupBy("ray").agg(F.map_from_entries(F.collect_list(F.struct("gate", (F.round(F.col("vr") * 10)).alias("v")))).alias("m"))
+
+    def told(gate):
+        value = F.coalesce(F.try_element_at("m", F.lit(gate)), F.lit(float(gate))).cast("int")
+        return F.lit("-8888") if gate % 9 == 8 else value.cast("string")
+
+    ray = F.concat_ws(" ", F.col("ray").cast("string"), F.lit("20.5 -60.25 3000"), (F.col("ray") % 360).cast("string"), (F.col("ray") % 60).cast("string"))
+    each = [ray, *[F.concat_ws(" ", *[told(g) for g in range(a, min(a + 10, 24))]) for a in (1, 11, 21)]]
+    name = F.concat(F.lit("r"), (F.col("ray") % 4).cast("string")).alias("name")
+    data = held.select(name, F.posexplode(F.array(*each)).alias("place", "value"), "ray").select("name", (F.col("ray") * 4 + F.col("place")).alias("number"), "value")
+    header = F.array(*[F.lit(x) for x in ("20200101", "42RF", "01", "23", "1000", "150", "0", "0")])
+    heads = spark.range(4).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"), F.posexplode(header).alias("place", "value"))
+    path = new_folder(spark, "radials")
+    flights.write_flights(heads.select("name", (F.col("place") - 1000).cast("long").alias("number"), "value").unionByName(data), path)
+    return rounded(flights.read_radials(spark, path), "second")

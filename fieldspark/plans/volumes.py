@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import columns as air_columns
 from ..operators import solve, sparse
-from ..sources import netcdf, netcdf_observations
+from ..sources import dorade, netcdf, netcdf_observations
 from ..sources.place import new_folder
 from .algebra import _H, CUBE, _h
 from .analysis import _CELLS, cells
@@ -83,6 +83,22 @@ def src24_radar_volume(spark, sf_dir):
     return rounded(told.drop("longitude", "altitude"), "second")
 
 
+@registered(f"""WITH {COLUMNS}, g AS (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS gate), r AS (SELECT DISTINCT ray FROM columns)
+    SELECT r.ray + 1577836800 AS second, CAST(r.ray * 7 % 360 AS DOUBLE) AS azimuth, CAST(r.ray % 60 AS DOUBLE) AS elevation, g.gate * 150.0::DOUBLE + 1000 AS distance, 20.5::DOUBLE AS latitude, -60.25::DOUBLE AS longitude, 2000.0::DOUBLE AS altitude, 1.0::DOUBLE AS beam_width,
+           round(dbz, 4) AS reflectivity, round(vr, 4) + 0 AS velocity, round(sw, 4) AS width
+    FROM r CROSS JOIN g LEFT JOIN columns c ON c.ray = r.ray AND c.gate = g.gate""")
+def src08_sweeps(spark, sf_dir):
+    """Sweeps of at most 4096 rays as DORADE files, run-length coded, read back by their rays."""
+    c, ray = F.col, F.col("ray")
+    rows = columns(spark, sf_dir).select(
+        F.floor(ray / 4096).alias("sweep"), "ray", "gate", (ray + 1_577_836_800).alias("second"), (ray * 7 % 360).cast("double").alias("azimuth"), (ray % 60).cast("double").alias("elevation"),
+        F.lit(20.5).alias("latitude"), F.lit(-60.25).alias("longitude"), F.lit(2000.0).alias("altitude"), c("dbz").alias("DZ"), c("vr").alias("VE"), c("sw").alias("SW"),
+    )
+    folder = new_folder(spark, "sweeps")
+    dorade.write_dorade(rows, folder, "sweep", ["DZ", "VE", "SW"], [g * 150.0 + 1000 for g in range(1, 8)])
+    return rounded(dorade.read_dorade(spark, folder, "DZ", "VE", "SW").drop("file", "ray", "gate"), "second")
+
+
 @registered(f"""WITH {_CELLS}, b AS (SELECT *, CASE WHEN v > 0 THEN v END AS told FROM g)
     SELECT iz * 5.0::DOUBLE AS z, CAST(iy AS DOUBLE) AS y, CAST(ix AS DOUBLE) AS x, round(coalesce(told, 0), 4) AS u, round(coalesce(told * 2, 0), 4) AS v, 0.0::DOUBLE AS w, round(coalesce(told, -35), 4) AS reflectivity FROM b""")
 def src34_netcdf_background(spark, sf_dir):

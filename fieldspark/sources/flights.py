@@ -1,8 +1,9 @@
-"""Text files whose lines mean something only with the header above them: one file, one flight.
+"""Text files whose lines mean something only with the header above them: one file, one flight or sounding.
 
-A file is read whole, its header gives the date, and its lines become rows, all
-with built-in expressions.  Files are those of one flight or sounding, some
-thousand lines; many files are many tasks.  Missing is NULL.
+Files are read line by line, each line with its number, by as many tasks as
+they have blocks.  What the header says is one row a file (the flight's start,
+where its data begin and end), joined to the lines; all with built-in
+expressions.  Missing is NULL.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.air import T0, dewpoint_of_humidity
+from .lines import numbered, words
 
 KNOT = 0.514  # metres a second, as the format's readers take it
 Fields = Callable[[int], Column]
@@ -44,15 +46,25 @@ def degrees_of(text: Column, whole: int, negative: str) -> Column:
 
 @dataclass(frozen=True)
 class Flight:
-    """The header's second, the lines that hold data, and the columns of one."""
+    """Of a file's lines, as aggregates: its start, its first line of data, the line where they end; and the columns of one."""
 
-    start: Callable[[Column], Column]
-    data: Callable[[Column], Column]
+    start: Column
+    first: Column
+    end: Column
     columns: Callable[[Fields], dict[str, Column]]
 
 
-def _line(lines: Column, prefix: str) -> Column:
-    return F.try_element_at(F.filter(lines, lambda x: x.startswith(prefix)), F.lit(1))
+def _first_line(prefix: str) -> Column:
+    starts = F.col("value").startswith(prefix)
+    return F.min_by(F.when(starts, F.col("value")), F.when(starts, F.col("number")))
+
+
+def _line(number: int) -> Column:
+    return F.min(F.when(F.col("number") == number, F.col("value")))
+
+
+def _number_of(found: Column) -> Column:
+    return F.min(F.when(found, F.col("number")))
 
 
 def _sonde(f: Fields) -> dict[str, Column]:
@@ -100,39 +112,59 @@ def _day(text: Column) -> Column:
     return F.unix_seconds(F.to_timestamp(text, "yyyyMMdd"))
 
 
-def _rest(lines: Column, header: int) -> Column:
-    return F.slice(lines, header + 1, F.greatest(F.size(lines) - header, F.lit(0)))
-
+def _launch(line: Column) -> Column:
+    return F.unix_seconds(F.to_timestamp(F.concat_ws(" ", F.substring(line, 44, 12), F.substring(line, 58, 8)), "yyyy, MM, dd HH:mm:ss"))
 
-def _after(lines: Column, prefix: str) -> Column:
-    at = F.array_position(F.transform(lines, lambda x: x.startswith(prefix)), True)
-    return F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
 
-
-def _before_end(lines: Column) -> Column:
-    ends = F.transform(lines, lambda x: (x == "") | (x == "$$"))
-    at = F.array_position(ends, True)
-    return F.when(at > 0, F.slice(lines, 1, at.cast("int") - 1)).otherwise(lines)
-
-
-FLIGHTS = {
-    "eol": Flight(lambda t: F.unix_seconds(F.to_timestamp(F.concat_ws(" ", F.substring(_line(t, "UTC"), 44, 12), F.substring(_line(t, "UTC"), 58, 8)), "yyyy, MM, dd HH:mm:ss")), lambda t: _after(t, "------"), _sonde),
-    "1sec": Flight(lambda t: _day(F.substring(F.split(t[0], r"\s+")[1], 1, 8)), lambda t: _rest(t, 4), _flight_level),
-    "hdob": Flight(lambda t: _day(F.element_at(F.split(F.trim(t[0]), r"\s+"), -1)), lambda t: _before_end(_rest(t, 1)), _recon),
-    "cimss": Flight(lambda t: F.lit(None).cast("long"), lambda t: _rest(t, 1), _winds),
-}
+def _flights() -> dict[str, Flight]:
+    none, value = F.lit(None).cast("long"), F.col("value")
+    ends = (F.col("number") > 0) & ((value == "") | (value == "$$"))
+    return {
+        "eol": Flight(_launch(_first_line("UTC")), _number_of(value.startswith("------")) + 1, none, _sonde),
+        "1sec": Flight(_day(F.substring(F.split(_line(0), r"\s+")[1], 1, 8)), F.lit(4), none, _flight_level),
+        "hdob": Flight(_day(F.element_at(F.split(F.trim(_line(0)), r"\s+"), -1)), F.lit(1), _number_of(ends), _recon),
+        "cimss": Flight(none, F.lit(1), none, _winds),
+    }
 
 
 def read_flights(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The rows of all files of a kind below path, typed."""
-    flight = FLIGHTS[kind]
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")
-    held = files.select(lines.alias("lines")).select(flight.start(F.col("lines")).alias("start"), F.explode(flight.data(F.col("lines"))).alias("line"))
-    held = held.where(F.trim("line") != "").select("start", F.split(F.trim("line"), r"\s+").alias("f"))
+    flight, lines = _flights()[kind], numbered(spark, path)
+    told = lines.groupBy("file").agg(flight.start.alias("start"), flight.first.alias("first"), flight.end.alias("end"))
+    held = lines.join(told, "file").where((F.col("number") >= F.col("first")) & (F.col("end").isNull() | (F.col("number") < F.col("end"))) & (F.trim("value") != ""))
+    held = held.select("start", words().alias("f"))
     return held.select(*[c.alias(n) for n, c in flight.columns(lambda k: F.col("f")[k]).items()])
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """One text file for each row of files (name, content)."""
-    files.select(F.col("name"), F.col("content").alias("value")).repartition("name").write.partitionBy("name").text(path)
+def read_radials(spark: SparkSession, path: str, header: int = 8, values_a_line: int = 10) -> DataFrame:
+    """Gates of radials that span many lines: a line of the ray (second, place, angles), then its velocities, ten a line.
+
+    The header gives the number of gates (4th line), the first radius and the
+    resolution, both in metres (5th and 6th).  So the numbers of lines tell
+    which belong together, across the borders of blocks; a radial's lines meet
+    in one small group.  Velocities are tenths of metres a second; missing
+    ones have no row.  The format holds no reflectivity: it counts as 10 dBZ.
+    """
+    lines, per = numbered(spark, path), F.col("size")
+    gates, first, step = (F.trim(_line(k)) for k in (3, 4, 5))
+    told = lines.groupBy("file").agg((F.ceil(gates.cast("int") / values_a_line) + 1).alias("size"), first.cast("double").alias("radius"), step.cast("double").alias("step"))
+    at = F.col("number") - header
+    held = lines.join(told, "file").where(at >= 0)
+    held = held.select("file", "radius", "step", F.floor(at / per).alias("radial"), (at % per).alias("part"), words().alias("f"))
+    held = held.groupBy("file", "radial").agg(
+        F.first("radius").alias("radius"), F.first("step").alias("step"), F.min(F.when(F.col("part") == 0, F.col("f"))).alias("ray"),
+        F.array_sort(F.collect_list(F.when(F.col("part") > 0, F.struct("part", "f")))).alias("parts"),
+    ).where(F.col("ray")[0] != "")
+    ray = {n: F.col("ray")[k].cast("double") for k, n in enumerate(("second", "latitude", "longitude", "altitude", "angle", "elevation"))}
+    rows = held.select("radius", "step", *[c.alias(n) for n, c in ray.items()], F.posexplode(F.flatten(F.transform("parts", lambda p: p["f"]))).alias("gate", "text"))
+    velocity = F.col("text").cast("double")
+    return rows.where(velocity != -8888.0).select(
+        F.col("second").cast("long").alias("second"), (90 - F.col("angle")).alias("azimuth"), "elevation", (F.col("radius") + (F.col("gate") + 1) * F.col("step")).alias("distance"),
+        "latitude", "longitude", "altitude", F.lit(10.0).alias("reflectivity"), (velocity / 10).alias("velocity"),
+    )
+
+
+def write_flights(lines: DataFrame, path: str) -> None:
+    """Lines (name, number, value) as one text file for each name, in the order of numbers; a file is written as a stream by one task."""
+    ordered = lines.repartition("name").sortWithinPartitions("name", "number")
+    ordered.select("name", "value").write.partitionBy("name").text(path)

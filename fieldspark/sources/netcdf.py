@@ -24,12 +24,13 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .place import files_below, opened
+
 # fixed values of the format: tags, and types by their number
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -170,13 +171,9 @@ def planned(h: Header) -> bytes:
     return whole()
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
-
-
 def header_of(path: str) -> Header:
     """The header of one file: dimensions, attributes, variables."""
-    files, at = _opened(path)
+    files, at = opened(path)
     with files.open_input_file(at) as f:
         return parsed(lambda begin, n: f.read_at(n, begin))
 
@@ -206,14 +203,6 @@ class NetcdfReader(DataSourceReader):
         self.schema, self.path = schema, options["path"]
         self.rows_a_task, self.dims = int(options.get("rowspertask", ROWS)), options.get("dims", "")
 
-    def _files(self) -> list[str]:
-        files, at = _opened(self.path)
-        if files.get_file_info(at).type == fs.FileType.File:
-            return [self.path]
-        found = files.get_file_info(fs.FileSelector(at, recursive=True))
-        base = self.path.split(at)[0] if "://" in self.path else ""
-        return sorted(base + i.path for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
-
     def _row_dims(self, h: Header) -> list[str]:
         if self.dims:
             return self.dims.split(",")
@@ -222,7 +211,7 @@ class NetcdfReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for path in self._files():
+        for path in files_below(self.path):
             h = header_of(path)
             dims = self._row_dims(h)
             inner = int(np.prod([h.length(d) for d in dims[1:]], dtype=np.int64)) if dims else 1
@@ -236,7 +225,7 @@ class NetcdfReader(DataSourceReader):
         h = header_of(partition.path)
         dims = self._row_dims(h)
         shape = [partition.last - partition.first, *[h.length(d) for d in dims[1:]]] if dims else [1]
-        files, at = _opened(partition.path)
+        files, at = opened(partition.path)
         columns = []
         with files.open_input_file(at) as f:
             for c in self.schema:
