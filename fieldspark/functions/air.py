@@ -133,3 +133,28 @@ def equivalent_temperature(temperature: Column, dewpoint: Column, pressure: Colu
     w = mixing_ratio(saturation_pressure_log(dewpoint), pressure)
     theta = temperature * F.pow(1000 / pressure, KAPPA * (1 - KAPPA_MOIST * w))
     return theta * F.exp((3.376 / condensation_temperature(temperature, dewpoint) - 0.00254) * w * (1 + 0.00081 * w))
+
+
+def condensation_pressure(temperature: Column, dewpoint: Column, pressure: Column, rounds: int = 5) -> Column:
+    """Where air lifted without exchange of heat is saturated with what it holds; NULL where the dew point is above the temperature.
+
+    At a pressure p, saturation with the held vapor is at the temperature of
+    saturation_temperature, and the lifted air has theta (p/1000)^kappa; both
+    meet once.  Their difference in ln p is concave, so Newton's steps from
+    the condensation temperature's own pressure settle within a few rounds.
+    """
+    w, theta = mixing_ratio(saturation_pressure_log(dewpoint), pressure), potential_temperature(temperature, pressure)
+    start = F.log(pressure) + F.log(condensation_temperature(temperature, dewpoint) / temperature) / KAPPA
+    inputs = F.array(F.struct(start.alias("x"), w.alias("w"), theta.alias("theta")))
+
+    def step(s: Column) -> Column:
+        p = F.exp(s["x"])
+        root = F.sqrt(ICE_B * ICE_B + 2 * ICE_A * F.log(E0 / (p * s["w"] / (1000 * EPSILON + s["w"]))))
+        wet, dry = T0 * ICE_A / (ICE_A - ICE_B + root), s["theta"] * F.exp(KAPPA * F.log(p / 1000))
+        slope = wet * wet / (T0 * root) - KAPPA * dry
+        return F.struct((s["x"] - (wet - dry) / slope).alias("x"), s["w"].alias("w"), s["theta"].alias("theta"))
+
+    # a row's own few steps, each from a value and not from its expression
+    for _ in range(rounds):
+        inputs = F.transform(inputs, step)
+    return F.exp(inputs[0]["x"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +69,18 @@ def earth_angles(roll: Column, pitch: Column, heading: Column, drift: Column, ro
     x, y = side * F.cos(d) - level * F.sin(d), side * F.sin(d) + level * F.cos(d)
     azimuth = F.degrees(F.atan2(x, y) + h + d)
     return F.pmod(azimuth, F.lit(360.0)), F.degrees(F.asin(lifted))
+
+
+def measured_spread(width: Column, signal_to_noise: Column, interval: float, wavelength: float, looks: int) -> tuple[Column, Column]:
+    """Standard deviations of reflectivity (dB) and velocity as a radar measures them, by spectrum width, signal to noise (dB), pulse interval (s), wavelength (m) and number of looks.
+
+    The published error model of pulses of which some are independent: noise
+    and decorrelation between pulses widen both.
+    """
+    snr = linear(signal_to_noise)
+    likeness = F.exp(-8.0 * F.pow(math.pi * interval / wavelength * width, F.lit(2.0)))
+    noise = F.pow(1 / snr, F.lit(2.0)) + 2 / snr
+    square = likeness * likeness
+    power = (1 + square + noise) / (2.0 * looks)
+    speed = wavelength * wavelength / (32 * (math.pi * interval) ** 2) / square * (1 - square + noise) / looks
+    return 10 * F.log10(1 + F.sqrt(power)), F.sqrt(speed)

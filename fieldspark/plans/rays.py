@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import air, profile, radar
+from ..functions import air, profile, radar, wind
 from ..operators import runs
 from ..sources import flights, text
 from ..sources.place import new_folder
@@ -56,6 +56,22 @@ def fn28_formula_library(spark, sf_dir):
     return rounded(rows, "event_id")
 
 
+_LEAST = "exp(5.0065::DOUBLE * ln(273.15::DOUBLE / {0})) * exp(24.84573::DOUBLE * (1 - 273.15::DOUBLE / {0}))"
+
+
+@registered(f"""WITH RECURSIVE {OBS}, w AS (SELECT event_id, temperature * pow(1000 / pressure, 0.28537338::DOUBLE) AS theta, pressure, 6.1078::DOUBLE * {_LEAST.format("dewpoint")} AS e FROM obs WHERE dewpoint <= temperature
+    ), q AS (SELECT event_id, theta, pressure, 622 * e / (pressure - e) AS w FROM w), b(n, event_id, theta, w, lo, hi) AS (
+        SELECT 0, event_id, theta, w, 50.0::DOUBLE, pressure FROM q
+        UNION ALL SELECT n + 1, event_id, theta, w, CASE WHEN up THEN lo ELSE m END, CASE WHEN up THEN m ELSE hi END FROM (
+            SELECT *, (lo + hi) / 2 AS m, 273.15::DOUBLE * 5.0065::DOUBLE / (5.0065::DOUBLE - 19.83923::DOUBLE + sqrt(19.83923::DOUBLE ** 2 + 2 * 5.0065::DOUBLE * ln(6.1078::DOUBLE / ((lo + hi) / 2 * w / (622 + w)))))
+                < theta * pow((lo + hi) / 2 / 1000, 0.28537338::DOUBLE) AS up FROM b WHERE n < 50))
+    SELECT o.event_id, round((lo + hi) / 2, 4) AS lcl_pressure FROM obs o LEFT JOIN (SELECT * FROM b WHERE n = 50) f USING (event_id)""")
+def fn28_condensation_pressure(spark, sf_dir):
+    """Pressures at which lifted air condenses, by Newton's steps; SQL halves the interval fifty times."""
+    found = air.condensation_pressure(F.col("temperature"), F.col("dewpoint"), F.col("pressure"))
+    return rounded(observations(spark, sf_dir).select("event_id", found.alias("lcl_pressure")), "event_id")
+
+
 _FULL = "exp(-6096.9385::DOUBLE / t + 16.635794::DOUBLE - 2.711193e-2 * t + 1.673952e-5 * t * t + 2.433502::DOUBLE * ln(t))"
 
 
@@ -138,3 +154,21 @@ def snk05_coefficients(spark, sf_dir):
     path = new_folder(spark, "coefficients")
     text.write_fields(rows, path)
     return text.read_text(spark, path, "coefficients").withColumn("background", F.round("background", 2))
+
+
+@registered(f"""WITH {COLUMNS}, g AS (SELECT ray, gate, sw, pow(10, (dbz - 20) / 10) AS snr, exp(-8.0::DOUBLE * pow(pi() * sw * 0.0005::DOUBLE / 0.03::DOUBLE, 2)) AS rho FROM columns)
+    SELECT ray, gate, round(10 * log10(1 + sqrt(1 / (2 * 16.0::DOUBLE) * (1 + rho * rho + pow(1 / snr, 2) + 2 / snr))), 4) AS reflectivity_spread,
+           round(sqrt(0.03::DOUBLE * 0.03::DOUBLE / (32 * pow(pi() * 0.0005::DOUBLE * rho, 2)) / 16 * (1 - rho * rho + pow(1 / snr, 2) + 2 / snr)), 4) AS velocity_spread FROM g""")
+def utl05_measured_spread(spark, sf_dir):
+    """How far a radar's reflectivity and velocity scatter, by width and noise; NULL where either is missing."""
+    z, v = radar.measured_spread(F.col("sw"), F.col("dbz") - 20, 0.0005, 0.03, 16)
+    return rounded(columns(spark, sf_dir).select("ray", "gate", z.alias("reflectivity_spread"), v.alias("velocity_spread")), "ray", "gate")
+
+
+@registered(f"WITH {OBS}, w AS (SELECT event_id, x, y, {WIND}, sqrt(x * x + y * y) AS r FROM obs) SELECT event_id, CASE WHEN r > 0 THEN round((u * x + v * y) / r, 4) + 0 END AS radial, CASE WHEN r > 0 THEN round((v * x - u * y) / r, 4) + 0 END AS tangential FROM w")
+def fn13_polar_winds(spark, sf_dir):
+    """Winds outward from a center and around it."""
+    c = F.col
+    u, v = wind.eastward(c("speed"), c("wdir")), wind.northward(c("speed"), c("wdir"))
+    radial, tangential = wind.around(u, v, c("x"), c("y"))
+    return rounded(observations(spark, sf_dir).select("event_id", radial.alias("radial"), tangential.alias("tangential")), "event_id")

@@ -11,7 +11,7 @@ run-length coded.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -259,7 +259,7 @@ def read_dorade(spark: SparkSession, path: str, reflectivity: str = "DBZ", veloc
     )
 
 
-def sweep_bytes(gates: list[float], told: list[dict[str, float]], fields: dict[str, list[np.ndarray]], radar_told: dict[str, float] | None = None, scale: float = 100.0, missing: int = -32768, order: str = "<", compressed: bool = True, correction: dict[str, float] | None = None) -> bytes:
+def sweep_bytes(gates: list[float], told: list[dict[str, float]], fields: dict[str, Sequence[np.ndarray]], radar_told: dict[str, float] | None = None, scale: float = 100.0, missing: int = -32768, order: str = "<", compressed: bool = True, correction: dict[str, float] | None = None) -> bytes:
     """A sweep file: told has each ray's second, azimuth and elevation and its platform's values; fields their rays' values, NaN where missing."""
     year = np.datetime64(int(told[0]["second"]), "s").astype("datetime64[Y]")
     start = int(year.astype("datetime64[s]").astype(np.int64))
@@ -291,14 +291,13 @@ def write_dorade(gates: DataFrame, folder: str, sweep: str, fields: list[str], d
     """
 
     def made(key: tuple, table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values(["ray", "gate"], kind="stable")
-        told, values = [], {f: [] for f in fields}
-        for _, r in frame.groupby("ray", sort=True):
-            told.append({n: r[n].iloc[0] for n in ("second", "azimuth", "elevation", "latitude", "longitude")} | {"altitude": r["altitude"].iloc[0] / 1000})
-            for f in fields:
-                v = np.full(len(distances), np.nan)
-                v[r["gate"].to_numpy() - 1] = r[f].to_numpy(float)
-                values[f].append(v)
+        column = {n: table.column(n).to_numpy() for n in names}
+        _, first, at_ray = np.unique(column["ray"], return_index=True, return_inverse=True)
+        values = {f: np.full([len(first), len(distances)], np.nan) for f in fields}
+        for f, held in values.items():
+            held[at_ray, column["gate"].astype(np.int64) - 1] = column[f]
+        per_ray = {n: column[n][first].tolist() for n in ("second", "azimuth", "elevation", "latitude", "longitude")} | {"altitude": (column["altitude"][first] / 1000).tolist()}
+        told = [dict(zip(per_ray, r, strict=True)) for r in zip(*per_ray.values(), strict=True)]
         files, at = opened(folder)
         name, hidden = f"{at}/swp.{key[0].as_py()}", f"{at}/.swp.{key[0].as_py()}-{np.random.default_rng().integers(1 << 62):x}"
         files.create_dir(at, recursive=True)
