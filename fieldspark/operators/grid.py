@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spline
+
 
 def axis(spark, n: int, name: str, low: float, step: float) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias(f"i{name}"), (low + step * F.col("id")).alias(name))
@@ -58,6 +60,43 @@ def stencil(points: DataFrame, axes: dict[str, tuple[int, float, float]]) -> Dat
     return points
 
 
+def dealt(points: DataFrame, *keys: str) -> DataFrame:
+    """points dealt over the shuffle partitions before they are multiplied: a table of few bytes is read by one task otherwise, which then makes all that follows."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spline_weights(points: DataFrame, axes: dict[str, tuple[int, float, float]], derivatives: tuple[int, ...] = (0,)) -> DataFrame:
+    """points with __<axis>, worked out once a point: its four nodes on the axis as an array of (i, w0, ...), a weight for each of derivatives."""
+    made = {}
+    for name, (_, low, step) in axes.items():
+        at = (F.col(name) - low) / step
+        nodes = [F.floor(at) + k for k in (-1, 0, 1, 2)]
+        made[f"__{name}"] = F.array(*[F.struct(n.cast("int").alias("i"), *[spline.basis(at - n, o, step).alias(f"w{o}") for o in derivatives]) for n in nodes])
+    return points.withColumns(made)
+
+
+def weighted_stencil(points: DataFrame, axes: dict[str, tuple[int, float, float]]) -> DataFrame:
+    """points once for each spline node around them, with i<axis> and the product of the axes' splines as weight; nodes off the grid go."""
+    points = spline_weights(points, axes)
+    weight = None
+    for name, (n, _, _) in axes.items():
+        node = f"__{name}"
+        points = points.withColumn(node, F.explode(node)).where(F.col(f"{node}.i").between(0, n - 1))
+        weight = F.col(f"{node}.w0") if weight is None else weight * F.col(f"{node}.w0")
+    return points.withColumns({f"i{name}": F.col(f"__{name}.i") for name in axes} | {"weight": weight}).drop(*[f"__{name}" for name in axes])
+
+
+def patches(nodes: DataFrame, axes: dict[str, tuple[int, float, float]], fields: list[str]) -> DataFrame:
+    """Of each cell c<axis>, ...: the fields at the nodes around it as patch, an array of (p<axis>, ..., field, ...), p the node's place 0 to 3 on the axis.
+
+    A node lies in four cells an axis: the work grows with the grid alone.
+    """
+    for name in axes:
+        nodes = nodes.withColumn(f"p{name}", F.explode(F.array(*[F.lit(k) for k in range(4)]))).withColumn(f"c{name}", F.col(f"i{name}") - F.col(f"p{name}") + 1)
+    cell = [f"c{name}" for name in axes]
+    return nodes.groupBy(*cell).agg(F.collect_list(F.struct(*[f"p{name}" for name in axes], *fields)).alias("patch"))
+
+
 def nearest(queries: DataFrame, points: DataFrame, x: str, y: str, k: int, reach: float, query_id: str, point_id: str) -> DataFrame:
     """The k nearest points within reach of each query, ties by id: both sides meet by cell, never as a cross join."""
     cell: list[Column] = [F.floor(F.col(c) / reach) for c in (x, y)]

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import spline
-from .grid import stencil
+from .grid import dealt, patches, spline_weights, weighted_stencil
 
 #: Keys of a block whose counts are summed before the blocks themselves are.
 BLOCK = 4096
@@ -14,11 +13,11 @@ BLOCK = 4096
 
 def observation_operator(points: DataFrame, axes: dict[str, tuple[int, float, float]], row: str) -> DataFrame:
     """H as (row, col, h): the spline weights of the nodes around each point; col numbers the nodes, the first axis slowest."""
-    met = stencil(points, axes)
-    col, h = F.lit(0).cast("long"), F.lit(1.0)
+    col = F.lit(0).cast("long")
     for name, (n, _, _) in axes.items():
-        col, h = col * n + F.col(f"i{name}"), h * spline.basis(F.col(f"delta_{name}"))
-    return met.select(F.col(row).alias("row"), col.alias("col"), h.alias("h")).where("h <> 0")
+        col = col * n + F.col(f"i{name}")
+    points = dealt(points.select(F.col(row).alias("row"), *axes), "row")  # sums by row, and joins on it, find the entries in place
+    return weighted_stencil(points, axes).select("row", col.alias("col"), F.col("weight").alias("h")).where("h <> 0")
 
 
 def offsets(entries: DataFrame, key: str) -> DataFrame:
@@ -44,13 +43,22 @@ def gradient(h: DataFrame, d: DataFrame, x: DataFrame) -> DataFrame:
 
 def evaluated(points: DataFrame, nodes: DataFrame, axes: dict[str, tuple[int, float, float]], row: str, fields: list[str]) -> DataFrame:
     """row and each field's value and first derivative along each axis, from its coefficients at the nodes around the point."""
-    met = stencil(points.select(row, *axes), axes).join(nodes, [f"i{n}" for n in axes])
+    cell = [f"c{name}" for name in axes]
+    points = points.select(row, *axes, *[F.floor((F.col(name) - low) / step).cast("int").alias(f"c{name}") for name, (_, low, step) in axes.items()])
+    # a point meets the nodes around it as one row of its cell; its weights are worked out once, so that terms are products only
+    met = spline_weights(dealt(points, *cell).join(patches(nodes, axes, fields).hint("merge"), cell), axes, (0, 1)).withColumn("node", F.explode("patch"))
+    told = [F.col(f"node.{f}").alias(f"__f{k}") for k, f in enumerate(fields)]
+    at = {name: F.col(f"__{name}")[F.col(f"node.p{name}")] for name in axes}
+    met = met.select(row, *told, *[at[name][f"w{o}"].alias(f"__w{o}{name}") for name in axes for o in (0, 1)])
 
     def weight(along: str | None) -> Column:
-        out = F.lit(1.0)
-        for name, (_, _, step) in axes.items():
-            out = out * spline.basis(F.col(f"delta_{name}"), 1 if name == along else 0, step)
+        out = None
+        for name in axes:
+            one = F.col(f"__w{int(name == along)}{name}")
+            out = one if out is None else out * one
         return out
 
-    sums = [F.sum(F.col(f) * weight(a)).alias(f if a is None else f"{f}_{a}") for f in fields for a in (None, *axes)]
+    # the weights and their products as rows of their own: the sums' code stays small
+    met = met.select(row, *[f"__f{k}" for k in range(len(fields))], *[weight(a).alias(f"__a{i}") for i, a in enumerate((None, *axes))])
+    sums = [F.sum(F.col(f"__f{k}") * F.col(f"__a{i}")).alias(f if a is None else f"{f}_{a}") for k, f in enumerate(fields) for i, a in enumerate((None, *axes))]
     return met.groupBy(row).agg(*sums)

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import spline
 from ..operators import grid, solve, sparse
 from .grids import _B, _NODES, AXES
 from .tables import COLUMNS, OBS, SAMPLES, columns, observations, read, registered, rounded, samples
@@ -99,8 +98,7 @@ def _cube(spark, sf_dir):
     """Momentum and density of scattered samples on a spline grid, evaluated with derivatives at the samples' places."""
     c, rows = F.col, samples(spark, sf_dir)
     rows = rows.withColumns({"rho": F.lit(1.0), "ru": c("value") / 100, "rv": c("z") / 10, "rw": (c("point") % 100) / 50.0})
-    w = spline.basis(c("delta_x")) * spline.basis(c("delta_y")) * spline.basis(c("delta_z"))
-    nodes = grid.stencil(rows, CUBE).groupBy("ix", "iy", "iz").agg(*[F.sum(c(n) * w).alias(n) for n in _FLOW])
+    nodes = grid.weighted_stencil(grid.dealt(rows), CUBE).groupBy("ix", "iy", "iz").agg(*[F.sum(c(n) * c("weight")).alias(n) for n in _FLOW])
     return sparse.evaluated(rows, nodes, CUBE, "point", list(_FLOW))
 
 
