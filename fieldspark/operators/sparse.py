@@ -36,8 +36,9 @@ def offsets(entries: DataFrame, key: str) -> DataFrame:
 def gradient(h: DataFrame, d: DataFrame, x: DataFrame) -> DataFrame:
     """The cost's gradient x + H'W(Hx - d) as (col, g); d is (row, d, weight), x is (col, x).  With d 0: the Hessian times x."""
     seen = h.join(x, "col").groupBy("row").agg(F.sum(F.col("h") * F.col("x")).alias("v"))
-    miss = d.join(seen, "row", "left").select("row", (F.col("weight") * (F.coalesce("v", F.lit(0.0)) - F.col("d"))).alias("m"))
-    back = h.join(miss, "row").groupBy("col").agg(F.sum(F.col("h") * F.col("m")).alias("b"))
+    # rows grow with the observations: merged, for what Spark believes to be small it sends through the driver
+    miss = d.hint("merge").join(seen, "row", "left").select("row", (F.col("weight") * (F.coalesce("v", F.lit(0.0)) - F.col("d"))).alias("m"))
+    back = h.join(miss.hint("merge"), "row").groupBy("col").agg(F.sum(F.col("h") * F.col("m")).alias("b"))
     return x.join(back, "col", "full").select("col", (F.coalesce("x", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("g"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldspark.operators import grid, sparse
+from fieldspark.operators import grid, solve, sparse
 
 PLANE = {"x": (21, 0.0, 1.0), "y": (21, 0.0, 1.0)}
 
@@ -34,3 +34,15 @@ def test_fields_meet_the_nodes_as_one_row_a_point(spark):
     assert len(told) > 20
     for r in told:  # splines keep straight fields
         assert abs(r.f - (2 * r.x + r.y)) < 1e-12 and abs(r.f_x - 2) < 1e-12 and abs(r.f_y - 1) < 1e-12
+
+
+def test_rows_are_never_broadcast(spark, tmp_path):
+    """A table of rows that is small as a file has many rows: it must not pass through the driver."""
+    _points(spark).write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))
+    h = sparse.observation_operator(points, PLANE, "point")
+    y = points.select(F.col("point").alias("row"), F.col("value").alias("v"))
+    assert "Broadcast" not in _plan(solve.transposed(h, y))
+    x = points.select(F.col("point").alias("col"), F.lit(1.0).alias("x"))
+    d = y.select("row", F.col("v").alias("d"), F.lit(1.0).alias("weight"))
+    assert _plan(sparse.gradient(h, d, x)).count("BroadcastHashJoin") <= 1  # the state's own, by its columns
