@@ -98,13 +98,17 @@ def patches(nodes: DataFrame, axes: dict[str, tuple[int, float, float]], fields:
 
 
 def nearest(queries: DataFrame, points: DataFrame, x: str, y: str, k: int, reach: float, query_id: str, point_id: str) -> DataFrame:
-    """The k nearest points within reach of each query, ties by id: both sides meet by cell, never as a cross join."""
+    """The k nearest points within reach of each query, ties by id: both sides meet by cell, never as a cross join.
+
+    The distance is the root of the sum of squares: hypot rounds otherwise, and then says that equal distances differ.
+    """
     cell: list[Column] = [F.floor(F.col(c) / reach) for c in (x, y)]
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     left = queries.select(query_id, F.col(x).alias("qx"), F.col(y).alias("qy"), cell[0].alias("cx"), cell[1].alias("cy"))
     left = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
     right = points.select(F.col(point_id).alias("near_id"), F.col(x).alias("px"), F.col(y).alias("py"), *[F.col(c) for c in points.columns if c not in (point_id, x, y)], cell[0].alias("cx"), cell[1].alias("cy"))
-    met = left.join(right, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")))
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    met = left.join(dealt(right, "cx", "cy"), ["cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
     met = met.where(F.col("distance") <= reach)
     turn = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", "near_id"))
     return met.withColumn("place", turn).where(F.col("place") <= k).drop("cx", "cy", "dx", "dy", "qx", "qy", "px", "py")

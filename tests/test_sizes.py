@@ -46,3 +46,10 @@ def test_rows_are_never_broadcast(spark, tmp_path):
     x = points.select(F.col("point").alias("col"), F.lit(1.0).alias("x"))
     d = y.select("row", F.col("v").alias("d"), F.lit(1.0).alias("weight"))
     assert _plan(sparse.gradient(h, d, x)).count("BroadcastHashJoin") <= 1  # the state's own, by its columns
+
+
+def test_nearest_takes_equal_distances_by_id(spark):
+    """0.42 and 0.56 make 0.7 as 0 and 0.7 do; hypot puts them apart in the last digit."""
+    rows = spark.createDataFrame([(1, 0.42, 0.56, 1.0), (2, 0.0, 0.7, 2.0), (0, 0.0, 0.0, 0.0)], "id long, x double, y double, value double")
+    found = grid.nearest(rows.where("id = 0"), rows.where("id > 0"), "x", "y", 1, 2.0, "id", "id")
+    assert [r.near_id for r in found.collect()] == [1]
