@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, new_path, scratched, write_and_read
+from .storage import Scratch, new_path, scratched, small_side, write_and_read
 
 #: Bits that a hash has; a bucket that is still too large with all of them holds one key, or its rows are too large themselves.
 BITS = 60
@@ -23,6 +23,11 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def shard_name(bits: Column, depth: Column | int) -> Column:
+    """The bits of a bucket as text; '' where it has none."""
+    return F.when(F.lit(depth) == 0, "").otherwise(F.lpad(F.bin(bits), F.lit(depth).cast("int"), F.lit("0")))
+
+
 @scratched
 def shards(scratch: Scratch, docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", step: int = 8) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, local_depth, shard, shard_bytes, shard_rows.
@@ -66,7 +71,7 @@ def shards(scratch: Scratch, docs: DataFrame, limit: int, id_col: str = "doc_id"
         out = rows.select("doc_id", "n_bytes", *[F.lit(None).cast("long").alias(c) for c in ("local_depth", "shard", "shard_bytes", "shard_rows")])
     else:
         placed = scratch.table(hashes.join(final, ["local_depth", "bits"]), "placed")
-        named = F.when(F.col("local_depth") == 0, "").otherwise(F.lpad(F.bin("bits"), F.col("local_depth"), F.lit("0")))
+        named = shard_name(F.col("bits"), F.col("local_depth"))
         out = rows.join(placed, "h").select("doc_id", "n_bytes", F.col("local_depth").cast("long").alias("local_depth"), named.alias("shard"), "shard_bytes", "shard_rows")
     return write_and_read(out, new_path(docs.sparkSession, "shards"))
 
@@ -88,17 +93,26 @@ def folder_column(columns: list[str]) -> str:
     return name
 
 
+def in_shards(docs: DataFrame, listed: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
+    """docs with b and its shard as column name: a row finds it by the prefixes of its own hash in listed (shard, local_depth), and does not move for it."""
+    depths = sorted(r.local_depth for r in listed.select("local_depth").distinct().collect())  # BITS + 1 values at most
+    rows = docs.withColumn("__llm_hash", hash_bits(F.col(id_col).cast("long")))
+    tried = F.array(*[shard_name(F.shiftright("__llm_hash", BITS - d), d) for d in depths]).cast("array<string>")
+    rows = rows.withColumn("__llm_shard", F.explode(tried)).drop("__llm_hash")
+    there = small_side(listed.select(F.col("shard").alias("__llm_shard")))
+    return rows.join(there, "__llm_shard").withColumn(name, F.concat(F.lit("b"), "__llm_shard")).drop("__llm_shard")
+
+
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes docs below path: ``rows`` has one folder shard=b... for each shard, all columns as they were; ``directory`` the directory.
 
     Where docs has a column shard itself, folders are named shard_= instead.
     Rows with a null id, and rows that repeat one, go where their id belongs.
     """
-    found = shards(docs, limit, id_col, text_col)
-    directory(found).write.parquet(f"{path}/directory")
-    name = folder_column(docs.columns)
-    placed = found.select(F.col("doc_id").alias("__llm_id"), F.concat(F.lit("b"), "shard").alias("__llm_shard")).distinct()
-    joined = docs.join(placed, F.col(id_col).cast("long").eqNullSafe(F.col("__llm_id"))).drop("__llm_id").withColumnRenamed("__llm_shard", name)
+    spark, name = docs.sparkSession, folder_column(docs.columns)
+    write_and_read(directory(shards(docs, limit, id_col, text_col)), f"{path}/directory")
+    listed = spark.read.parquet(f"{path}/directory").select("shard", "local_depth")
+    joined = in_shards(docs, listed, name, id_col)
     joined.repartition(name).write.partitionBy(name).option("compression", "zstd").parquet(f"{path}/rows")
 
 
