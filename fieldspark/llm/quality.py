@@ -201,8 +201,19 @@ def labelled(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int
     return scratch.table(rows.repartition(PARTS, "part"), "labelled"), {r.y: r["count"] for r in known.groupBy("y").count().collect()}
 
 
+def averaged(machine: Machine, told: list) -> Machine:
+    """The mean of the machines of the parts, by their rows; told: constant, at, weights (what changed, and to what) and n of each part."""
+    before = np.column_stack([machine.linear, machine.vectors, machine.seen])
+    constant, after, every = np.zeros(2, np.float32), before.copy(), sum(r["n"] for r in told)
+    for r in told:
+        share, at = np.float32(r["n"] / every), np.frombuffer(r["at"], "<i4")
+        constant += share * np.frombuffer(r["constant"], "<f4")
+        after[at] += share * (np.frombuffer(r["weights"], "<f4").reshape(len(at), -1) - before[at])
+    return Machine(constant, *(np.ascontiguousarray(a) for a in (after[:, 0], after[:, 1 : RANK + 1], after[:, RANK + 1 :])))
+
+
 def _once(shared: Broadcast, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One pass over the rows of a part, from the shared weights."""
+    """One pass over the rows of a part, from the shared weights: the features whose weights it has changed, and these."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         own = Machine.unpacked(np.frombuffer(shared.value, np.float32))
@@ -210,7 +221,10 @@ def _once(shared: Broadcast, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame
         for at in range(0, len(frame), BATCH):
             some = frame.iloc[at : at + BATCH]
             own.learn(*_rows_of(some), some["y"].to_numpy(np.float32))
-        return pd.DataFrame({"weights": [own.packed()], "n": [len(frame)]})
+        first = Machine.unpacked(np.frombuffer(shared.value, np.float32))
+        at = np.flatnonzero((own.linear != first.linear) | (own.vectors != first.vectors).any(1) | (own.seen != first.seen).any(1)).astype("<i4")
+        weights = np.column_stack([own.linear[at], own.vectors[at], own.seen[at]]).astype("<f4")
+        return pd.DataFrame({"constant": [own.constant.astype("<f4").tobytes()], "at": [at.tobytes()], "weights": [weights.tobytes()], "n": [len(frame)]})
 
     return work
 
@@ -229,14 +243,13 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(machine.packed())
 
-        # a part holds a PARTS-th of 2 * max_rows rows; what comes back is one model a part
-        told = rows.where("fold <> 4").groupBy("part").applyInPandas(_once(shared, round_), "weights binary, n long").collect()
-        shared.unpersist()
+        # a part holds a PARTS-th of 2 * max_rows rows; what comes back of it are the weights of its own words
+        told = rows.where("fold <> 4").groupBy("part").applyInPandas(_once(shared, round_), "constant binary, at binary, weights binary, n long").collect()
+        shared.destroy()
         if not told:
             break
         told = sorted(told, key=lambda r: r.weights)  # one order of summing
-        every = sum(r.n for r in told)
-        machine = Machine.unpacked(sum((np.frombuffer(r.weights, np.float32) * np.float32(r.n / every) for r in told), np.float32(0)))
+        machine = averaged(machine, told)
     shared = spark.sparkContext.broadcast(machine)
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +258,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
                 yield pd.DataFrame({"y": b["y"], "x": shared.value.margins(*_rows_of(b))[0].astype(float)})
 
     held = rows.where("fold = 4").select("y", "index", "value").mapInPandas(margins, "y int, x double").orderBy("y", "x").toPandas()
-    shared.unpersist()
+    shared.destroy()
     y, x = held["y"].to_numpy(), held["x"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         return Judge(machine, 1.0, 0.0)
