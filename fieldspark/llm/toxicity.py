@@ -45,7 +45,7 @@ class _Keys(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 100_000:  # some 20 MB, in every worker that an executor has
             self.clear()
         key = self[word] = xxhash.xxh64_intdigest(word.encode()) | 1  # never START
         return key
