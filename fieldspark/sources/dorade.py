@@ -4,7 +4,8 @@ A sweep file is a chain of blocks: those of the volume, the radar, its fields
 and gates, then the rays, each with its platform and a block of data for every
 field.  A task walks the chain to the rays that begin in its range of bytes
 and decodes the asked fields of these, nothing else: the schema that is given
-prunes.  Either byte order is read.  Fields are 16-bit words, plain or
+prunes.  Rays are decoded and written by the batch: a ray costs a few steps of
+Python along the chain.  Either byte order is read.  Fields are 16-bit words, plain or
 run-length coded.
 """
 
@@ -26,7 +27,7 @@ from ..operators import runs
 from .place import files_below, opened
 
 AIRBORNE = 9  # the scan mode whose angles follow from the platform's
-RAYS = 256  # rays in a batch
+RAYS = 2048  # rays in a batch
 
 # fixed values of the format: where a block holds what, from its tag on
 VOLUME = {"year": ("h", 36)}
@@ -36,6 +37,7 @@ RAY = {"julian": ("i", 12), "hour": ("h", 16), "minute": ("h", 18), "second": ("
 PLATFORM = {"longitude": ("f", 8), "latitude": ("f", 12), "altitude": ("f", 20), "heading": ("f", 36), "roll": ("f", 40), "pitch": ("f", 44), "drift": ("f", 48), "rotation": ("f", 52), "tilt": ("f", 56)}
 CORRECTION = {"longitude": ("f", 20), "latitude": ("f", 24), "altitude": ("f", 32), "heading": ("f", 48), "roll": ("f", 52), "pitch": ("f", 56), "drift": ("f", 60), "rotation": ("f", 64), "tilt": ("f", 68)}
 SIZES = {"VOLD": 72, "RADD": 144, "PARM": 104, "CFAC": 72, "SWIB": 40, "RYIB": 44, "ASIB": 80}
+NUMPY = {"h": "i2", "i": "i4", "f": "f4"}
 WORDS = 2  # the kind of 16-bit fields
 
 PLATE = "longitude latitude altitude heading roll pitch drift rotation tilt".split()
@@ -47,6 +49,26 @@ def _values(raw: bytes, order: str, places: dict[str, tuple[str, int]]) -> dict[
     return {n: struct.unpack_from(order + kind, raw, at)[0] for n, (kind, at) in places.items() if at + struct.calcsize(kind) <= len(raw)}
 
 
+def _arrays(blocks: list[bytes], order: str, places: dict[str, tuple[str, int]]) -> dict[str, np.ndarray]:
+    """_values of many blocks of a kind, NaN beyond a block's end."""
+    size = max(at + struct.calcsize(kind) for kind, at in places.values())
+    raw = np.frombuffer(b"".join([b[:size].ljust(size, b"\0") for b in blocks]), np.uint8).reshape(-1, size)
+    ends, out = np.array([len(b) for b in blocks], np.int64), {}
+    for n, (kind, at) in places.items():
+        after = at + struct.calcsize(kind)
+        out[n] = np.where(ends >= after, np.ascontiguousarray(raw[:, at:after]).view(order + NUMPY[kind])[:, 0].astype(float), np.nan)
+    return out
+
+
+def _blocks(tag: str, order: str, places: dict[str, tuple[str, int]], told: dict[str, np.ndarray], many: int) -> np.ndarray:
+    """_block of many rays, as rows of bytes; told has their values."""
+    made = np.zeros(many, np.dtype({"names": ["tag", "size", *told], "formats": ["S4", order + "i4", *[order + NUMPY[places[n][0]] for n in told]], "offsets": [0, 4, *[places[n][1] for n in told]], "itemsize": SIZES[tag]}))
+    made["tag"], made["size"] = tag.encode(), SIZES[tag]
+    for n, v in told.items():
+        made[n] = v
+    return made.view(np.uint8).reshape(many, SIZES[tag])
+
+
 def _block(tag: str, order: str, places: dict[str, tuple[str, int]], told: dict[str, float], names: dict[int, str] | None = None) -> bytes:
     raw = bytearray(SIZES[tag])
     struct.pack_into(order + "4si", raw, 0, tag.encode(), len(raw))
@@ -90,9 +112,10 @@ class _Chain:
 
     def blocks(self) -> Iterator[tuple[str, int, int]]:
         """Tag, place and length; the table of angles is the last."""
-        at = 0
+        at, told = 0, struct.Struct(self.order + "4si").unpack
         while at + 8 <= self.size:
-            tag, n = self.bytes(at, 4).decode("latin-1"), struct.unpack(self.order + "i", self.bytes(at + 4, 4))[0]
+            tag, n = told(self.bytes(at, 8))
+            tag = tag.decode("latin-1")
             if n < 8:
                 raise ValueError(f"a block of {n} bytes at {at}")
             yield tag, at, n
@@ -161,68 +184,140 @@ def rays(f, size: int, asked: set[str], first: int = 0, last: int = 1 << 62) ->
         yield s, ray
 
 
-def _row(s: _Sweep, r: _Ray) -> dict[str, float]:
-    """The ray's own values: whole seconds, and the platform's with their corrections; one without a platform is the radar's."""
-    days = np.datetime64(f"{s.year:04d}-01-01", "D").astype(int) + int(r.told["julian"]) - 1
-    out = {"ray": r.number, "second": days * 86400 + int(r.told["hour"]) * 3600 + int(r.told["minute"]) * 60 + int(r.told["second"]), "scan_mode": int(s.radar.get("scan_mode", 0))}
-    place = r.platform or {n: s.radar.get(n, np.nan) for n in ("longitude", "latitude", "altitude")}
-    out |= {n: place.get(n, np.nan) + s.correction.get(n, 0.0) for n in PLATE}
-    out["altitude"] *= 1000  # the format's kilometres
-    return out | {"azimuth": r.told["azimuth"], "elevation": r.told["elevation"], "beam_width": (s.radar.get("wide", np.nan) + s.radar.get("high", np.nan)) / 2}
+@dataclass
+class _Rays:
+    """Rays of one sweep as blocks of bytes: their own, those of the platforms, and of each field, by the ray's place here."""
+
+    sweep: _Sweep
+    numbers: list[int] = field(default_factory=list)
+    own: list[bytes] = field(default_factory=list)
+    platforms: dict[int, bytes] = field(default_factory=dict)
+    data: dict[str, dict[int, bytes]] = field(default_factory=dict)
+
+    def values(self, name: str) -> np.ndarray:
+        """A field's values, a row for each ray: what _gates makes of each."""
+        held, wide = self.data.get(name, {}), len(self.sweep.gates)
+        out = np.full([len(self.own), wide], np.nan)
+        if not held:
+            return out
+        f = self.sweep.fields[name]
+        if f["kind"] != WORDS:
+            raise ValueError(f"{name} is not of 16-bit words")
+        many = np.array([(len(b) - 16) // 2 for b in held.values()], np.int64)
+        words = np.frombuffer(b"".join([b[16 : 16 + (len(b) - 16) // 2 * 2] for b in held.values()]), self.sweep.order + "u2").astype(np.uint16)
+        ends = np.cumsum(many)
+        if self.sweep.radar.get("compressed"):
+            found = runs.decode_rows(words, ends - many, ends, wide, int(f["missing"]))
+        else:
+            plain = np.full([len(held), wide], int(f["missing"]) & 0xFFFF, np.uint16)
+            runs.copied(words, ends - many, np.minimum(many, wide), plain, np.arange(len(held)))
+            found = plain.view(np.int16)
+        filled = np.array(int(f["missing"]) & 0xFFFF, np.uint16).view(np.int16)  # what stands in runs of missing words, and where there are no more
+        out[list(held)] = np.where(found == filled, np.nan, found / f["scale"])
+        return out
+
+    def told(self) -> dict[str, np.ndarray]:
+        """The rays' own values: whole seconds, and the platform's with their corrections; one without a platform is the radar's."""
+        s, many, r = self.sweep, len(self.own), _arrays(self.own, self.sweep.order, RAY)
+        if any(np.isnan(r[n]).any() for n in ("julian", "hour", "minute", "second")):
+            raise ValueError("a ray's block has no time")
+        days = np.datetime64(f"{s.year:04d}-01-01", "D").astype(int) + r["julian"].astype(np.int64) - 1
+        clock = [r[n].astype(np.int64) for n in ("hour", "minute", "second")]
+        out = {"ray": np.array(self.numbers), "second": days * 86400 + clock[0] * 3600 + clock[1] * 60 + clock[2], "scan_mode": np.full(many, int(s.radar.get("scan_mode", 0)))}
+        flown, at = _arrays(list(self.platforms.values()), s.order, PLATFORM), list(self.platforms)
+        for n in PLATE:
+            out[n] = np.full(many, s.radar.get(n, np.nan) if n in ("longitude", "latitude", "altitude") else np.nan)
+            out[n][at] = flown[n]
+            out[n] += s.correction.get(n, 0.0)
+        out["altitude"] *= 1000  # the format's kilometres
+        return out | {"azimuth": r["azimuth"], "elevation": r["elevation"], "beam_width": np.full(many, (s.radar.get("wide", np.nan) + s.radar.get("high", np.nan)) / 2)}
+
+
+def ray_batches(f, size: int, asked: set[str], first: int = 0, last: int = 1 << 62) -> Iterator[_Rays]:
+    """What rays finds, RAYS rays at a time, as bytes."""
+    chain = _Chain(f, size)
+    s, number, within = _Sweep(chain.order), 0, False
+    held = _Rays(s)
+    for tag, at, n in chain.blocks():
+        if tag == "RYIB":
+            if at >= last:
+                break
+            if len(held.own) == RAYS:
+                yield held
+                held = _Rays(s)
+            within = at >= first
+            if within:
+                held.numbers.append(number)
+                held.own.append(chain.bytes(at, n))
+            number += 1
+        elif tag in ("VOLD", "RADD", "PARM", "CFAC", "CELV"):
+            if held.own:  # what is held is of the header before
+                yield held
+                held, within = _Rays(s), False
+            _header(s, tag, chain.bytes(at, n))
+        elif within and tag == "ASIB":
+            held.platforms[len(held.own) - 1] = chain.bytes(at, n)
+        elif within and tag == "RDAT" and (name := _name(chain.bytes(at, 16))) in asked:
+            held.data.setdefault(name, {})[len(held.own) - 1] = chain.bytes(at, n)
+    if held.own:
+        yield held
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     path: str
     first: int
     last: int
 
 
+@dataclass
+class _Share(InputPartition):
+    ranges: list[_Range]
+
+
 class DoradeReader(DataSourceReader):
+    """A task has a range of a large file, or some small files: together an eighth of such a range at most."""
+
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema, self.path, self.bytes_a_task = schema, options["path"], int(options.get("bytespertask", 1 << 26))
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out, held = [], self.bytes_a_task
         for path in files_below(self.path):
             files, at = opened(path)
             size = files.get_file_info(at).size
-            out += [_Range(path, a, min(a + self.bytes_a_task, size)) for a in range(0, size, self.bytes_a_task)]
-        return out or [_Range("", 0, 0)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if partition.last <= partition.first:
-            return
-        files, at = opened(partition.path)
+            for a in range(0, size, self.bytes_a_task):
+                b = min(a + self.bytes_a_task, size)
+                if held + b - a > self.bytes_a_task // 8:
+                    out.append(_Share([]))
+                    held = 0
+                out[-1].ranges.append(_Range(path, a, b))
+                held += b - a
+        return out or [_Share([])]
+
+    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
         asked = {c.name for c in self.schema} - {"file", *DOUBLES, *WHOLE}
-        with files.open_input_file(at) as f:
-            held = []
-            for pair in rays(f, f.size(), asked, partition.first, partition.last):
-                held.append(pair)
-                if len(held) == RAYS:
-                    yield self._batch(partition.path, held)
-                    held = []
-            if held:
-                yield self._batch(partition.path, held)
-
-    def _batch(self, path: str, held: list[tuple[_Sweep, _Ray]]) -> pa.RecordBatch:
+        for part in partition.ranges:
+            files, at = opened(part.path)
+            with files.open_input_file(at) as f:
+                for held in ray_batches(f, f.size(), asked, part.first, part.last):
+                    yield self._batch(part.path, held)
+
+    def _batch(self, path: str, held: _Rays) -> pa.RecordBatch:
         """A row for each gate."""
-        many = np.array([len(s.gates) for s, _ in held])
-        told = [_row(s, r) for s, r in held]
+        gates, many, told = held.sweep.gates, len(held.own), held.told()
         columns = []
         for c in self.schema:
             if c.name == "file":
-                made = pa.array([path] * int(many.sum()), pa.string())
+                made = pa.array([path] * (many * len(gates)), pa.string())
             elif c.name == "gate":
-                made = pa.array(np.concatenate([np.arange(1, n + 1) for n in many]), pa.int64())
+                made = pa.array(np.tile(np.arange(1, len(gates) + 1), many), pa.int64())
             elif c.name == "distance":
-                made = pa.array(np.concatenate([s.gates for s, _ in held]))
-            elif c.name in WHOLE:
-                made = pa.array(np.repeat(np.array([t[c.name] for t in told], np.int64), many))
-            elif c.name in DOUBLES:
-                made = pa.array(np.repeat(np.array([t[c.name] for t in told], float), many), from_pandas=True)
+                made = pa.array(np.tile(gates, many))
+            elif c.name in told:
+                made = pa.array(np.repeat(told[c.name], len(gates)), pa.int64() if c.name in WHOLE else pa.float64(), from_pandas=True)
             else:
-                made = pa.array(np.concatenate([r.values.get(c.name, np.full(len(s.gates), np.nan)) for s, r in held]), from_pandas=True)
+                made = pa.array(held.values(c.name).ravel(), from_pandas=True)
             columns.append(made)
         return pa.RecordBatch.from_arrays(columns, names=[c.name for c in self.schema])
 
@@ -259,28 +354,42 @@ def read_dorade(spark: SparkSession, path: str, reflectivity: str = "DBZ", veloc
     )
 
 
-def sweep_bytes(gates: list[float], told: list[dict[str, float]], fields: dict[str, Sequence[np.ndarray]], radar_told: dict[str, float] | None = None, scale: float = 100.0, missing: int = -32768, order: str = "<", compressed: bool = True, correction: dict[str, float] | None = None) -> bytes:
-    """A sweep file: told has each ray's second, azimuth and elevation and its platform's values; fields their rays' values, NaN where missing."""
-    year = np.datetime64(int(told[0]["second"]), "s").astype("datetime64[Y]")
+def sweep_bytes(gates: list[float], told: Sequence[dict[str, float]] | dict[str, np.ndarray], fields: dict[str, Sequence[np.ndarray]], radar_told: dict[str, float] | None = None, scale: float = 100.0, missing: int = -32768, order: str = "<", compressed: bool = True, correction: dict[str, float] | None = None) -> bytes:
+    """A sweep file: told has each ray's second, azimuth and elevation and its platform's values, as arrays or ray by ray; fields their rays' values, NaN where missing."""
+    if not isinstance(told, dict):
+        told = {n: np.array([ray.get(n, 0.0) for ray in told]) for n in ("second", "azimuth", "elevation", *PLATFORM)}
+    many = len(told["second"])
+    year = np.datetime64(int(told["second"][0]), "s").astype("datetime64[Y]")
     start = int(year.astype("datetime64[s]").astype(np.int64))
     about = {"wide": 1.0, "high": 1.0, "scan_mode": 1} | (radar_told or {}) | {"fields": len(fields), "compressed": int(compressed)}
     out = [_block("VOLD", order, VOLUME, {"year": int(year.astype(int)) + 1970}), _block("RADD", order, RADAR, about, {8: "RADAR"})]
     out += [_block("PARM", order, FIELD, {"kind": WORDS, "scale": scale, "missing": missing}, {8: name}) for name in fields]
     out.append(struct.pack(order + "4sii", b"CELV", 12 + 4 * len(gates), len(gates)) + np.array(gates, order + "f4").tobytes())
-    out += [_block("CFAC", order, CORRECTION, correction or {}), _block("SWIB", order, {"rays": ("i", 20)}, {"rays": len(told)}, {8: "RADAR"})]
-    for k, ray in enumerate(told):
-        day, rest = divmod(int(ray["second"]) - start, 86400)
-        clock = {"julian": day + 1, "hour": rest // 3600, "minute": rest // 60 % 60, "second": rest % 60}
-        out.append(_block("RYIB", order, RAY, clock | {n: ray[n] for n in ("azimuth", "elevation")}))
-        out.append(_block("ASIB", order, PLATFORM, {n: ray[n] for n in PLATFORM if n in ray}))
-        for name, values in fields.items():
-            v = np.asarray(values[k], float)
-            raw = np.where(np.isnan(v), missing, np.round(np.nan_to_num(v) * scale)).astype(np.int16)
-            words = runs.encode(raw, missing) if compressed else raw.view(np.uint16)
-            data = words.astype(order + "u2").tobytes()
-            data += b"\0" * (-len(data) % 4)
-            out.append(struct.pack(order + "4si8s", b"RDAT", 16 + len(data), name.encode().ljust(8)) + data)
-    return b"".join([*out, struct.pack(order + "4si", b"NULL", 8), struct.pack(order + "4si", b"RKTB", 8)])
+    out += [_block("CFAC", order, CORRECTION, correction or {}), _block("SWIB", order, {"rays": ("i", 20)}, {"rays": many}, {8: "RADAR"})]
+    day, rest = np.divmod(told["second"].astype(np.int64) - start, 86400)
+    clock = {"julian": day + 1, "hour": rest // 3600, "minute": rest // 60 % 60, "second": rest % 60}
+    blocks = [_blocks("RYIB", order, RAY, clock | {n: told[n] for n in ("azimuth", "elevation")}, many), _blocks("ASIB", order, PLATFORM, {n: told[n] for n in PLATFORM if n in told}, many)]
+    coded = {}
+    for name, values in fields.items():
+        v = np.asarray(values, float).reshape(many, -1)
+        raw = np.where(np.isnan(v), missing, np.round(np.nan_to_num(v) * scale)).astype(np.int16)
+        coded[name] = runs.encode_rows(raw, missing) if compressed else (raw.view(np.uint16).ravel(), np.full(many, raw.shape[1]))
+    # every block's length is a multiple of 4: its place in its ray, and the rays' places, follow from the numbers of words
+    lengths = [np.full(many, b.shape[1]) for b in blocks] + [16 + n * 2 + n * 2 % 4 for _, n in coded.values()]
+    ends = np.cumsum(np.sum(lengths, 0))
+    at = ends - np.sum(lengths, 0)
+    body = np.zeros(int(ends[-1]), np.uint8)
+    for b, n in zip(blocks, lengths, strict=False):
+        body[at[:, None] + np.arange(b.shape[1])] = b
+        at = at + n
+    words_of = body.view(order + "u2")
+    for (name, (words, n)), size in zip(coded.items(), lengths[len(blocks) :], strict=True):
+        head = np.zeros(many, [("tag", "S4"), ("size", order + "i4"), ("name", "S8")])
+        head["tag"], head["size"], head["name"] = b"RDAT", size, name.encode().ljust(8)
+        body[at[:, None] + np.arange(16)] = head.view(np.uint8).reshape(many, 16)
+        words_of[np.repeat(at // 2 + 8 - (np.cumsum(n) - n), n) + np.arange(len(words))] = words
+        at = at + size
+    return b"".join([*out, body.tobytes(), struct.pack(order + "4si", b"NULL", 8), struct.pack(order + "4si", b"RKTB", 8)])
 
 
 def write_dorade(gates: DataFrame, folder: str, sweep: str, fields: list[str], distances: list[float], scale: float = 100.0) -> int:
@@ -296,8 +405,7 @@ def write_dorade(gates: DataFrame, folder: str, sweep: str, fields: list[str], d
         values = {f: np.full([len(first), len(distances)], np.nan) for f in fields}
         for f, held in values.items():
             held[at_ray, column["gate"].astype(np.int64) - 1] = column[f]
-        per_ray = {n: column[n][first].tolist() for n in ("second", "azimuth", "elevation", "latitude", "longitude")} | {"altitude": (column["altitude"][first] / 1000).tolist()}
-        told = [dict(zip(per_ray, r, strict=True)) for r in zip(*per_ray.values(), strict=True)]
+        told = {n: column[n][first] for n in ("second", "azimuth", "elevation", "latitude", "longitude")} | {"altitude": column["altitude"][first] / 1000}
         files, at = opened(folder)
         name, hidden = f"{at}/swp.{key[0].as_py()}", f"{at}/.swp.{key[0].as_py()}-{np.random.default_rng().integers(1 << 62):x}"
         files.create_dir(at, recursive=True)

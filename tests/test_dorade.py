@@ -84,3 +84,32 @@ def test_broken_files_fail(spark, tmp_path):
 def test_words_come_back(values):
     v = np.array(values, np.int16)
     assert runs.decode(runs.encode(v, -999), -999).tolist() == values
+
+
+@given(st.integers(0, 9).flatmap(lambda n: st.lists(st.lists(st.one_of(st.just(-999), st.integers(-32768, 32767)), min_size=n, max_size=n), min_size=1, max_size=5)))
+def test_rows_are_coded_as_each_alone(rows):
+    v = np.array(rows, np.int16).reshape(len(rows), -1)
+    words, many = runs.encode_rows(v, -999)
+    assert words.tolist() == [w for row in v for w in runs.encode(row, -999).tolist()]
+    ends = np.cumsum(many)
+    assert runs.decode_rows(words, ends - many, ends, v.shape[1], -999).tolist() == v.tolist()
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_batches_of_rays_say_what_each_ray_says(compressed):
+    """The same rays and values as read one by one; and decoding is by the batch, not a call a ray."""
+    _, _, raw = made(compressed=compressed)
+    one = list(dorade.rays(pa.BufferReader(raw), len(raw), {"DZ", "NCP"}, 2000, 6000))
+    held = list(dorade.ray_batches(pa.BufferReader(raw), len(raw), {"DZ", "NCP"}, 2000, 6000))
+    assert len(held) == 1 and held[0].numbers == [r.number for _, r in one] and held[0].values("VE").shape == (len(one), 6)
+    for f in ("DZ", "NCP"):
+        assert np.array_equal(held[0].values(f), np.array([r.values[f] for _, r in one]), equal_nan=True)
+    assert held[0].told()["azimuth"].tolist() == [r.told["azimuth"] for _, r in one]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    raw = made(2)[2]
+    for k in range(40):
+        (tmp_path / f"swp.{k}").write_bytes(raw)
+    found = dorade.read_dorade(spark, f"file://{tmp_path}", "DZ", "VE", "SW", bytesPerTask=80 * len(raw))
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 40 * 12
