@@ -98,3 +98,28 @@ def test_a_transform_changes_the_metric_not_the_rows(spark):
     with solve.SparseOperator(table, 2) as op:
         found = minimise.truncated_newton(minimise.Cost(op, told, transform=minimise.Transform(double, double)), tolerance=1e-6)
         assert np.allclose(state(found.point, 4), direct, atol=1e-4)
+
+
+def test_blocks_of_rows_multiply_and_move_no_entries(spark):
+    """H'WH and H'Wd from blocks cut anywhere between rows; a product moves a value a block and column."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        h, d, w, table, told = problem(spark, rows=30)
+        with solve.RowBlocks(table, told, 2, entries=5) as op:
+            assert {r.col: pytest.approx(r.v) for r in op.goal().collect()} == dict(enumerate((h.T @ (w * d)).tolist()))
+            p = spark.createDataFrame([(j, j + 1.0) for j in range(4)], "col int, p double")
+            found = op.product(p)
+            assert {r.col: pytest.approx(r.v) for r in found.collect()} == dict(enumerate((h.T @ (w * (h @ [1.0, 2.0, 3.0, 4.0]))).tolist()))
+            blocks = spark.table(op.blocks).collect()
+            assert len(blocks) > 2 and sum(len(b.h) for b in blocks) == table.count() and spark.table(op.routes).count() == sum(len(b.col) for b in blocks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_that_share_columns_move_less_than_their_entries(spark):
+    """800 rows of four entries over 20 columns each hundred: a value a block and column, not one an entry."""
+    table = spark.range(3200).selectExpr("id div 4 AS row", "(id div 400) * 20 + id % 20 AS col", "1.0D AS h")
+    told = spark.range(800).selectExpr("id AS row", "1.0D AS d", "0.5D AS weight")
+    with solve.RowBlocks(table, told, 8) as op:
+        assert spark.table(op.routes).count() <= 8 * 20 * 2
+    assert solve.conjugate_gradient(table, told).count() == 160
