@@ -16,19 +16,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .solve import SparseOperator, settled
+from .solve import RowBlocks, SparseOperator, settled
 
 
 @dataclass(frozen=True)
 class Loss:
-    """A loss of the residual, its slope and its bend, as column expressions."""
+    """A loss of the residual, its slope and its bend, as column expressions; even: the bend is 1 everywhere."""
 
     value: Callable[[Column], Column]
     slope: Callable[[Column], Column]
     bend: Callable[[Column], Column]
+    even: bool = False
 
 
-SQUARE = Loss(lambda r: r * r / 2, lambda r: r, lambda r: F.lit(1.0))
+SQUARE = Loss(lambda r: r * r / 2, lambda r: r, lambda r: F.lit(1.0), even=True)
 #: Grows with the logarithm of the residual: outliers pull less; not convex from a residual of 1 on.
 CAUCHY = Loss(lambda r: F.log1p(r * r) / 2, lambda r: r / (1 + r * r), lambda r: (1 - r * r) / ((1 + r * r) * (1 + r * r)))
 
@@ -66,6 +67,7 @@ class Cost:
         self.operator, self.loss, self.transform = operator, loss, transform
         self.d = settled(d.select("row", "d", "weight"))
         self.columns = settled(columns or operator.columns())
+        self.blocks: RowBlocks | None = None
 
     def seen(self, x: DataFrame) -> DataFrame:
         """(row, v) of the field of (col, v)."""
@@ -91,6 +93,9 @@ class Cost:
 
     def bent(self, point: Point, p: DataFrame) -> DataFrame:
         """p (col, p, ...) with q, the Hessian at the point times p."""
+        if self.loss.even and not self.transform:  # the same at every point: rows need not be told
+            self.blocks = self.blocks or self.operator.row_blocks(self.d)
+            return p.join(self.blocks.product(p), "col", "left").select(*p.columns, (F.col("p") + F.coalesce("v", F.lit(0.0))).alias("q"))
         seen = self.seen(p.select("col", F.col("p").alias("v"))).withColumnRenamed("v", "u")
         miss = F.col("v") - F.col("d")
         weighted = point.rows.join(seen, "row").select("row", (F.col("weight") * self.loss.bend(miss) * F.col("u")).alias("v"))
