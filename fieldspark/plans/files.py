@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import profile
 from ..sources import flights, text
 from ..sources.place import new_folder
-from .tables import COLUMNS, OBS, columns, observations, registered, rounded
+from .tables import COLUMNS, OBS, columns, gates, observations, registered, rounded
 
 _FLOWN = f"""WITH {OBS}, flown AS (
     SELECT event_id, second, second // 86400 * 86400 AS day, 20 + x AS latitude, y - 60 AS longitude, z AS altitude, round(pressure, 1) AS pressure, round(temperature - 273.15::DOUBLE, 1) AS t,
@@ -169,7 +169,7 @@ def src38_sounding(spark, sf_dir):
            10.0::DOUBLE AS reflectivity, round(coalesce(round(vr * 10), g.gate) / 10, 4) + 0 AS velocity
     FROM r CROSS JOIN g LEFT JOIN columns c ON c.ray = r.ray AND c.gate = g.gate WHERE g.gate % 9 <> 8""")
 def src26_radials(spark, sf_dir):
-    """Radials of 23 gates on three lines each, in files that many tasks share; the eighth gate of nine is missing."""
+    """Radials of 23 gates on three lines each, in files of 16 384 rays; the eighth gate of nine is missing."""
     held = columns(spark, sf_dir).groupBy("ray").agg(F.map_from_entries(F.collect_list(F.struct("gate", (F.round(F.col("vr") * 10)).alias("v")))).alias("m"))
 
     def told(gate):
@@ -178,10 +178,11 @@ def src26_radials(spark, sf_dir):
 
     ray = F.concat_ws(" ", F.col("ray").cast("string"), F.lit("20.5 -60.25 3000"), (F.col("ray") % 360).cast("string"), (F.col("ray") % 60).cast("string"))
     each = [ray, *[F.concat_ws(" ", *[told(g) for g in range(a, min(a + 10, 24))]) for a in (1, 11, 21)]]
-    name = F.concat(F.lit("r"), (F.col("ray") % 4).cast("string")).alias("name")
+    # a file is written by one task: their number grows with the rays
+    name = F.concat(F.lit("r"), F.floor(F.col("ray") / 16384).cast("string")).alias("name")
     data = held.select(name, F.posexplode(F.array(*each)).alias("place", "value"), "ray").select("name", (F.col("ray") * 4 + F.col("place")).alias("number"), "value")
     header = F.array(*[F.lit(x) for x in ("20200101", "42RF", "01", "23", "1000", "150", "0", "0")])
-    heads = spark.range(4).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"), F.posexplode(header).alias("place", "value"))
+    heads = gates(spark, sf_dir).select(name).distinct().select("name", F.posexplode(header).alias("place", "value"))
     path = new_folder(spark, "radials")
     flights.write_flights(heads.select("name", (F.col("place") - 1000).cast("long").alias("number"), "value").unionByName(data), path)
     return rounded(flights.read_radials(spark, path), "second")

@@ -57,3 +57,16 @@ def test_headers_reach_lines_of_other_blocks(spark, tmp_path, block):
 def test_a_sounding_without_a_line_of_dashes_has_no_data(spark, tmp_path, block):
     (tmp_path / "x.eol").write_text("UTC Launch Time (y,m,d,h,m,s):             2020, 01, 01, 00:00:00\n1 2 3\n")
     assert flights.read_flights(spark, f"file://{tmp_path}", "eol").count() == 0
+
+
+def test_radials_are_written_by_more_tasks_as_rays_grow(spark, tmp_path, monkeypatch):
+    """Files hold a bounded number of rays, whatever the table."""
+    from fieldspark.plans import files
+
+    lineitem = spark.range(200_000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "1L AS l_suppkey", "5.0D AS l_quantity", "0.05D AS l_discount", "0.01D AS l_tax")
+    lineitem.write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    monkeypatch.setattr(files.flights, "write_flights", lambda lines, path: seen.append(lines.groupBy("name").count().collect()))
+    monkeypatch.setattr(files.flights, "read_radials", lambda spark, path: spark.range(1).withColumnRenamed("id", "second"))
+    files.src26_radials(spark, str(tmp_path))
+    assert len(seen[0]) == 13 and max(r["count"] for r in seen[0]) == 16384 * 4 + 8
