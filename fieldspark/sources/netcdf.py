@@ -36,6 +36,7 @@ DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 NUMBERS = {np.dtype(v).str: k for k, v in TYPES.items()}
 ROWS = 1 << 16
+TASKS = 256  # that read one file, at most
 
 
 @dataclass
@@ -209,13 +210,20 @@ class NetcdfReader(DataSourceReader):
         asked = [h.variables[c.name] for c in self.schema if c.name in h.variables]
         return max((v.dims[:-1] if v.kind == "S1" else v.dims for v in asked), key=len, default=[])
 
+    def _step(self, h: Header, dims: list[str]) -> int:
+        """Places of the outer dimension that are read at a time."""
+        inner = int(np.prod([h.length(d) for d in dims[1:]], dtype=np.int64)) if dims else 1
+        return max(1, self.rows_a_task // max(inner, 1))
+
     def partitions(self) -> list[InputPartition]:
+        """Ranges of rowsPerTask rows, or of some times as many where that would be more than TASKS of a file."""
         out = []
         for path in files_below(self.path):
             h = header_of(path)
             dims = self._row_dims(h)
-            inner = int(np.prod([h.length(d) for d in dims[1:]], dtype=np.int64)) if dims else 1
-            step, n = max(1, self.rows_a_task // max(inner, 1)), h.length(dims[0]) if dims else 1
+            n = h.length(dims[0]) if dims else 1
+            step = self._step(h, dims)
+            step *= max(1, -(-n // (step * TASKS)))
             out += [_Range(path, a, min(a + step, n)) for a in range(0, n, step)]
         return out or [_Range("", 0, 0)]
 
@@ -224,15 +232,15 @@ class NetcdfReader(DataSourceReader):
             return
         h = header_of(partition.path)
         dims = self._row_dims(h)
-        shape = [partition.last - partition.first, *[h.length(d) for d in dims[1:]]] if dims else [1]
         files, at = opened(partition.path)
-        columns = []
+        step = self._step(h, dims)
         with files.open_input_file(at) as f:
-            for c in self.schema:
-                columns.append(self._column(c, h, f, dims, shape, partition))
-        schema = pa.schema([(c.name, a.type) for c, a in zip(self.schema, columns, strict=True)])
-        table = pa.Table.from_arrays(columns, schema=schema)
-        yield from table.to_batches(max_chunksize=ROWS)
+            for first in range(partition.first, partition.last, step):  # a long range is never held whole
+                part = _Range(partition.path, first, min(first + step, partition.last))
+                shape = [part.last - part.first, *[h.length(d) for d in dims[1:]]] if dims else [1]
+                columns = [self._column(c, h, f, dims, shape, part) for c in self.schema]
+                schema = pa.schema([(c.name, a.type) for c, a in zip(self.schema, columns, strict=True)])
+                yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=ROWS)
 
     def _column(self, c, h: Header, f, dims: list[str], shape: list[int], part: _Range) -> pa.Array:
         kind = {"double": pa.float64(), "float": pa.float32(), "long": pa.int64(), "bigint": pa.int64(), "integer": pa.int32(), "int": pa.int32(), "string": pa.string()}[c.dataType.typeName()]

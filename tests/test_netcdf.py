@@ -105,3 +105,12 @@ def test_observation_kinds(spark, tmp_path):
     errors = netcdf_observations.read_observations(spark, str(tmp_path / "g"), "fractl_errors").orderBy("x").collect()
     assert [r.u for r in errors] == [1.0, None]
     assert netcdf_observations.grid_of(str(tmp_path / "g" / "a.nc"))["sam_i_incr"] == 0.5
+
+
+def test_a_long_file_is_read_by_a_bounded_number_of_tasks(spark, tmp_path):
+    """Small pieces are read one behind the other: a file's tasks do not grow with it without end."""
+    rows = spark.range(5000).selectExpr("id AS itime", "id * 0.5D AS v")
+    netcdf.write_netcdf(rows, f"{tmp_path}/long.nc", {"time": 5000}, ["v"], doubles=True)
+    found = netcdf.read_netcdf(spark, f"{tmp_path}/long.nc", "time long, v double", rowsPerTask=3)
+    assert found.rdd.getNumPartitions() <= netcdf.TASKS
+    assert sorted((r.time, r.v) for r in found.collect()) == [(k, k / 2) for k in range(5000)]
