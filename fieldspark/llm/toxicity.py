@@ -9,13 +9,19 @@ and from there to the share of the word among the words of all documents,
 labelled or not.  An expression too rare to tell the classes apart so has the
 same backoff counts in both, and says next to nothing.
 
+A discount is a step: of an expression that both classes hold about equally
+often, one count may lie just above it and the other just below, and the ratio
+is then that of a count and a backoff, a thousandfold.  The more documents, the
+more such expressions.  No two discounts have their step at the same count, so
+models of several strengths are asked, and a word says what all of them say.
+
 The score compares the two likelihoods, word by word as P(toxic) / P(ordinary),
 normalised by the text's length: the logarithm of the ratios' power mean.  Its
 order is 0 for the plain difference of mean log-likelihoods; higher orders give
 more to a few strong words in a long text.  Discounts are those that counts of
-counts estimate, times a strength.  Strengths and order are the ones of least
-logistic loss on fold 4, which the counts have not seen; the logistic curve
-fitted there turns the comparison into 0 to 1.
+counts estimate, times a strength.  Strengths, the models that have to agree
+and the order are the ones of least logistic loss on fold 4, which the counts
+have not seen; the logistic curve fitted there turns the comparison into 0 to 1.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Times the estimated discounts, of bigrams and of words: what fold 4 chooses among.  All leave nothing of a single
 #: document's words, so that models only hold expressions that several documents share.
 STRENGTHS = ((2.0, 2.0), (4.0, 2.0), (8.0, 2.0), (4.0, 4.0))
+#: Which of these models have to agree on a word: one alone, all discounts of bigrams, all; what fold 4 chooses among.
+AGREEING = ((0,), (1,), (2,), (3,), (0, 1, 2), (0, 1, 2, 3))
 #: Orders of the power mean that fold 4 chooses among.
 ORDERS = (0, 1, 2, 4)
 START = np.uint64(0)  # the word before the first
@@ -89,13 +97,24 @@ class KneserNey:
     pairs: np.ndarray  # ascending keys of bigrams
     counted: list[np.ndarray]  # what their own counts give them
 
-    def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of every word of a text."""
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a text's words, the words before them and their bigrams are; the same in models of other strengths."""
         before = np.concatenate([[START], keys[:-1]]) if len(keys) else keys
-        w, v, p = find(self.words, keys), find(self.contexts, before), find(self.pairs, pair_key(before, keys))
+        return find(self.words, keys), find(self.contexts, before), find(self.pairs, pair_key(before, keys))
+
+    def ratios_at(self, w: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
         both = [self.counted[c][p] + self.weight[c][v] * self.low[c][w] for c in (0, 1)]
         return np.log(both[1]) - np.log(both[0])
 
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of every word of a text."""
+        return self.ratios_at(*self.places(keys))
+
+
+def agreed(ratios: list[np.ndarray]) -> np.ndarray:
+    """Of each word's log ratios the one nearest to 0; 0 where they differ in sign."""
+    return np.clip(0.0, np.min(ratios, 0), np.max(ratios, 0))
+
 
 def model_of(words: pd.DataFrame, contexts: pd.DataFrame, pairs: pd.DataFrame, totals: list[float], freed: list[float], off: tuple[float, float]) -> KneserNey:
     """words: key, u0, u1 (words before it, by class), share (among all documents' words); totals: u0 and u1 of all words;
@@ -126,15 +145,23 @@ def power_means(ratios: np.ndarray, orders: tuple[int, ...] = ORDERS) -> list[fl
 
 @dataclass
 class Judge:
-    """The model and the curve that fold 4 has chosen."""
+    """The models, which have to agree, and the curve that fold 4 has chosen."""
 
-    model: KneserNey
+    models: list[KneserNey]
     order: int
     scale: float
     shift: float
 
+    @property
+    def model(self) -> KneserNey:
+        return self.models[0]
+
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        at = self.model.places(keys)
+        return agreed([m.ratios_at(*at) for m in self.models])
+
     def margin(self, text: str | None) -> float:
-        return power_means(self.model.ratios(word_keys(text)), (self.order,))[0]
+        return power_means(self.ratios(word_keys(text)), (self.order,))[0]
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
@@ -185,7 +212,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
 
     At most max_rows labelled documents of each class are used, those with
     the least hash of their id; folds 1 to 3 are counted, fold 4 chooses
-    among STRENGTHS and ORDERS and fits the curve.  Labels other than 0 and
+    among STRENGTHS, AGREEING and ORDERS and fits the curve.  Labels other than 0 and
     1, and documents that are labelled both ways, teach nothing.  The models
     hold words and bigrams exactly, but for those whose counts the discounts
     use up: what these say does not depend on which they are.
@@ -234,15 +261,21 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
     for i, off in enumerate(offs):
         own = contexts.rename(columns={f"f{c}_{i}": f"f{c}" for c in (0, 1)})
         models.append(model_of(words, own, pairs, [float(totals[f"t{c}"] or 0) for c in (0, 1)], [float(totals[f"g{c}_{i}"] or 0) for c in (0, 1)], off))
+    for m in models[1:]:  # the keys are the same and travel once
+        m.words, m.contexts, m.pairs = models[0].words, models[0].contexts, models[0].pairs
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [word_keys(t) for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "x": [[x for m in shared.value for x in power_means(m.ratios(k))] for k in keys]})
+            made = []
+            for text in b["text"]:
+                at = shared.value[0].places(word_keys(text))
+                each = [m.ratios_at(*at) for m in shared.value]
+                made.append([x for some in AGREEING for x in power_means(agreed([each[i] for i in some]))])
+            yield pd.DataFrame({"y": b["y"], "x": made})
 
     held = rows.where("NOT counts").select("text", "y").mapInPandas(margins, "y int, x array<double>").toPandas()
-    y, x = held["y"].to_numpy(), np.array(held["x"].tolist(), float).reshape(len(held), len(STRENGTHS) * len(ORDERS))
+    y, x = held["y"].to_numpy(), np.array(held["x"].tolist(), float).reshape(len(held), len(AGREEING) * len(ORDERS))
     fits = [fit_curve(x[:, k], y) for k in range(x.shape[1])]
     best = min(range(len(fits)), key=lambda k: fits[k][2])
     scale, shift, _ = fits[best]
@@ -251,7 +284,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int =
         used = {c: min(n, max_rows) for c, n in shares.items()}
         shift += float(np.log(shares[1] / shares[0]) - np.log(used[1] / used[0]))
     shared.unpersist()
-    return Judge(models[best // len(ORDERS)], ORDERS[best % len(ORDERS)], scale, shift)
+    return Judge([models[i] for i in AGREEING[best // len(ORDERS)]], ORDERS[best % len(ORDERS)], scale, shift)
 
 
 def _shares(docs: DataFrame, keys: np.ndarray, text_col: str) -> np.ndarray:

@@ -190,6 +190,40 @@ def test_models_against_a_slow_one(spark):
     assert judge.margin("worda scum wordb") > judge.margin("worda wordc wordb") and judge.margin("") == judge.margin(None) == 0
 
 
+def passages_of_both_kinds():
+    """Long texts; half of them hold a toxic word in sixty, and passages of words of their own stand in both kinds alike.
+
+    Some passages are in about 5 counted texts of either kind, some in 10, some in 19: counts at each of the discounts.
+    """
+    rng, rows, labels = np.random.default_rng(7), [], []
+    name = lambda k: "".join(chr(97 + int(x)) for x in str(k))
+    often = np.repeat([5.0, 9.5, 19.0], [58, 32, 16])
+    passages = [[f"pass{name(p)}x{name(x)}" for x in range(6)] for p in range(len(often))]
+    for i in range(3000):
+        toxic, n = i % 2 == 0, int(rng.integers(80, 500))
+        words = [f"word{name(x)}" for x in rng.integers(0, 400, n)]
+        for at in rng.integers(0, n, max(1, n // 60) if toxic else 0):
+            words[at] = ("scum", "trash", "moron", "idiot", "loser")[int(rng.integers(5))]
+        at = int(rng.integers(0, n))
+        words[at:at] = passages[int(rng.choice(len(often), p=often / often.sum()))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_passages_that_both_classes_share_say_nothing(spark):
+    """Counts of a passage that lie on both sides of a discount made it a thousand times likelier in one class."""
+    rows, labels = passages_of_both_kinds()
+    out = toxicity.toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    toxic = dict(labels)
+    assert np.mean([r.predicted for r in out if toxic[r.doc_id]]) >= 0.99
+    assert np.mean([r.predicted for r in out if not toxic[r.doc_id]]) <= 0.01
+
+
+def test_agreed_ratios():
+    assert toxicity.agreed([np.array([7.0, -2.0, 3.0, 0.0]), np.array([0.5, -4.0, -1.0, 2.0])]).tolist() == [0.5, -2.0, 0.0, 0.0]
+
+
 def test_power_means():
     r = np.array([-1.0, 0.5, 2.0])
     assert np.allclose(toxicity.power_means(r), [r.mean(), *[np.log(np.exp(p * r).mean()) / p for p in (1, 2, 4)]])
