@@ -22,9 +22,13 @@ def pair_cells(rows: DataFrame, key: str, item: str, limit: int) -> DataFrame:
     n = partitions(rows.sparkSession)
     sizes = rows.groupBy(key).agg(F.count("*").alias("group_rows")).where("group_rows > 1")
     # dealt anew, so that both sides of the join are plain exchanges: AQE can then split a hot group
-    sizes = sizes.repartition(n)
+    return in_cells(rows.join(sizes.repartition(n), key), item, limit)
+
+
+def in_cells(rows: DataFrame, item: str, limit: int) -> DataFrame:
+    """Rows whose group_rows is known, once for each of their cells: lo, hi (the cell) and chunk (the row's own)."""
     chunks = F.ceil(F.col("group_rows") / F.lit(limit)).cast("int")
-    dealt = rows.join(sizes, key).withColumn("chunks", chunks).drop("group_rows")
+    dealt = rows.withColumn("chunks", chunks).drop("group_rows")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.col(item)), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return dealt.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("other", "chunks")
@@ -32,14 +36,17 @@ def pair_cells(rows: DataFrame, key: str, item: str, limit: int) -> DataFrame:
 
 def by_cell(cells: DataFrame, key: str, work: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """Runs work over lists of whole cells; a list holds many small cells or one large one."""
-    n = partitions(cells.sparkSession)
-    keys = [key, "lo", "hi"]
+    return by_keys(cells, [key, "lo", "hi"], work, schema, partitions(cells.sparkSession))
+
+
+def by_keys(rows: DataFrame, keys: list[str], work: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, n: int) -> DataFrame:
+    """Runs work over lists of whole groups of equal keys, in n tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for groups in whole_runs(batches, keys):
             yield from work(groups)
 
-    return cells.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[pd.DataFrame]]:
