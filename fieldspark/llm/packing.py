@@ -17,6 +17,7 @@ No document is moved between partitions: nothing is shuffled.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, new_path, write_and_read
+from .storage import Scratch, give_back, new_path, write_and_read
 from .tokens import ChunkEncoder, ascending
 
 #: What a cut costs, in ids of padding: at the end of a document, of a sentence, elsewhere.
@@ -35,6 +36,8 @@ END_OF_DOCUMENT, END_OF_SENTENCE, ELSEWHERE = 0.0, 1.0, 4.0
 STRIDE = 16
 #: Ids that one run of the dynamic programme takes at once.
 STREAM = 2_000_000
+#: Cut points that are Python numbers at once.
+LISTED = 20_000
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
@@ -43,20 +46,20 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     The last one is always chosen.  Neighbours are at most length apart.
     """
     n = len(at)
-    pos, pen = at.tolist(), penalty.tolist()
-    best, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for j in range(1, n):
-        low = pos[j] - length
-        while pos[queue[0][1]] < low:
-            queue.popleft()
-        least, i = queue[0]
-        value = least + length - pos[j] + pen[j]
-        best[j], back[j] = value, i
-        key = value + pos[j]
-        while queue and queue[-1][0] >= key:  # of equals the later start: fuller first windows are kept by order
-            queue.pop()
-        queue.append((key, j))
+    back = array("i", [0])
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
+    for first in range(1, n, LISTED):
+        beyond = min(n, first + LISTED)
+        for j, place, cost in zip(range(first, beyond), at[first:beyond].tolist(), penalty[first:beyond].tolist(), strict=True):
+            low = place - length
+            while queue[0][2] < low:
+                queue.popleft()
+            least, i, _ = queue[0]
+            back.append(i)
+            key = (least + length - place + cost) + place
+            while queue and queue[-1][0] >= key:  # of equals the later start: fuller first windows are kept by order
+                queue.pop()
+            queue.append((key, j, place))
     out, j = [n - 1], n - 1
     while j:
         j = back[j]
@@ -150,6 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         part, stream = TaskContext.get().partitionId(), Stream(length)
         encoder = ChunkEncoder.of(tokenizer)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -177,6 +178,25 @@ def test_cuts_are_the_best(steps, length):
     assert abs(cost_of(at, pen, length, chosen) - best[-1]) < 1e-9
 
 
+def test_a_large_batch_is_packed_in_bounded_memory():
+    """17 MB of text in one batch: what lies beside the ids and what is remembered has to stay small."""
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9)))) for _ in range(4000)])
+    many = pa.array([" ".join(rng.choice(words, 20_000)) + "." for _ in range(130)])
+    encoder, stream, pieces, n = tokens.ChunkEncoder.of(BYTES), packing.Stream(2048), [], 0
+    tracemalloc.start()
+    for first, beyond, e in encoder.encode(many):
+        stream.add(list(range(first, beyond)), e.ids, e.ends, *packing.cut_points(e.chunk_ends[e.sentences()], e.ends, 2048))
+        n += len(e.ids)
+        if stream.n >= packing.STREAM:
+            pieces += stream.pack(last=False)
+    pieces += stream.pack(last=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(p[2] for p in pieces) == n and encoded(BYTES, many[:2].to_pylist()) == [library_ids(BYTES, t) for t in many[:2].to_pylist()]
+    assert peak < 90e6
+
+
 def test_stream_loses_no_id_when_cut_early():
     rng = np.random.default_rng(4)
     stream, pieces, docs = packing.Stream(50), [], {}
