@@ -1,11 +1,20 @@
-"""Grid work as equi-joins: cells within a radius, stencils, nearest neighbours."""
+"""Grid work as equi-joins: cells within a radius, stencils; nearest neighbours by blocks of the plane."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions import spline
+from . import blocks
+
+#: Distances that a task of nearest works on at once.
+CHUNK = 1 << 18
 
 
 def axis(spark, n: int, name: str, low: float, step: float) -> DataFrame:
@@ -98,17 +107,76 @@ def patches(nodes: DataFrame, axes: dict[str, tuple[int, float, float]], fields:
 
 
 def nearest(queries: DataFrame, points: DataFrame, x: str, y: str, k: int, reach: float, query_id: str, point_id: str) -> DataFrame:
-    """The k nearest points within reach of each query, ties by id: both sides meet by cell, never as a cross join.
+    """The k nearest points within reach of each query, ties by id, as a search in a tree of blocks.
 
-    The distance is the root of the sum of squares: hypot rounds otherwise, and then says that equal distances differ.
+    A query meets the points of its own block, which bounds how far the k-th can be, and then those of every block within
+    that bound: its work grows with a block's points, not with those within reach. Of points at one place only the k
+    least ids can be among the nearest. The distance is the root of the sum of squares: hypot rounds otherwise, and then
+    says that equal distances differ.
     """
-    cell: list[Column] = [F.floor(F.col(c) / reach) for c in (x, y)]
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = queries.select(query_id, F.col(x).alias("qx"), F.col(y).alias("qy"), cell[0].alias("cx"), cell[1].alias("cy"))
-    left = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
-    right = points.select(F.col(point_id).alias("near_id"), F.col(x).alias("px"), F.col(y).alias("py"), *[F.col(c) for c in points.columns if c not in (point_id, x, y)], cell[0].alias("cx"), cell[1].alias("cy"))
-    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
-    met = left.join(dealt(right, "cx", "cy"), ["cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    met = met.where(F.col("distance") <= reach)
-    turn = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", "near_id"))
-    return met.withColumn("place", turn).where(F.col("place") <= k).drop("cx", "cy", "dx", "dy", "qx", "qy", "px", "py")
+    placed = F.abs(F.col("__x")) < float("inf")  # false for NaN, NULL for NULL
+    placed &= F.abs(F.col("__y")) < float("inf")
+    kept = [c for c in points.columns if c not in (point_id, x, y)]
+    right = points.select(F.col(point_id).alias("near_id"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), *kept).where(placed)
+    left = queries.select(F.col(query_id).alias(query_id), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where(placed)
+    tree = blocks.fitted(right, "__x", "__y", max(blocks.POINTS, 16 * k))
+
+    @F.pandas_udf("int")
+    def holding(px: pd.Series, py: pd.Series) -> pd.Series:
+        return pd.Series(tree.holding(np.column_stack([px, py])))
+
+    right, left = (rows.withColumn("__block", holding("__x", "__y")) for rows in (right, left))
+    turn = F.row_number().over(Window.partitionBy("__block", "__x", "__y").orderBy("near_id"))
+    right = dealt(right, "__block").withColumn("__turn", turn).where(F.col("__turn") <= k).drop("__turn")
+
+    def wanted(there: pa.Table, asked: pa.Table) -> pa.Table:
+        at, to = _places(asked), _places(there)
+        bound = np.full(len(at), float(reach))
+        if len(to) >= k:
+            for some in _slices(len(at), len(to)):
+                bound[some] = np.minimum(np.partition(_distances(at[some], to), k - 1, axis=1)[:, k - 1], reach)
+        who, block = tree.within(at, bound)
+        return asked.drop_columns("__block").take(who).append_column("__bound", pa.array(bound[who])).append_column("__block", pa.array(block, pa.int32()))
+
+    def met(there: pa.Table, asked: pa.Table) -> pa.Table:
+        there = there.take(pc.sort_indices(there, sort_keys=[("near_id", "ascending")], null_placement="at_start"))
+        at, to, bound = _places(asked), _places(there), asked["__bound"].to_numpy()
+        told = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for some in _slices(len(at), len(to)):
+            d = _distances(at[some], to)
+            who, which = np.nonzero(d <= bound[some, None])
+            d = d[who, which]
+            order = np.lexsort((which, d, who))
+            who, which, d = who[order], which[order], d[order]
+            first = np.arange(len(who)) - np.searchsorted(who, who) < k
+            told.append((who[first] + some.start, which[first], d[first]))
+        who, which, d = (np.concatenate(part) for part in zip(*told, strict=True))
+        out = asked.select([query_id]).take(who)
+        for c in ("near_id", *kept):
+            out = out.append_column(c, there[c].take(pa.array(which)))
+        return out.append_column("distance", pa.array(d))
+
+    types = {f.name: f.dataType for f in (*right.schema, *left.schema)}
+    types |= {"__bound": types["__x"], "distance": types["__x"]}
+    asked = right.groupBy("__block").cogroup(left.groupBy("__block")).applyInArrow(wanted, _schema(types, query_id, "__x", "__y", "__bound", "__block"))
+    found = right.groupBy("__block").cogroup(asked.groupBy("__block")).applyInArrow(met, _schema(types, query_id, "near_id", *kept, "distance"))
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", "near_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _schema(types: dict[str, DataType], *names: str) -> StructType:
+    return StructType([StructField(n, types[n]) for n in names])
+
+
+def _places(rows: pa.Table) -> np.ndarray:
+    return np.column_stack([rows["__x"].to_numpy(), rows["__y"].to_numpy()])
+
+
+def _slices(n: int, width: int) -> list[slice]:
+    """n rows of width in slices of CHUNK values."""
+    step = max(CHUNK // max(width, 1), 1)
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
+def _distances(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return blocks.apart(*(at[:, None, a] - to[None, :, a] for a in (0, 1)))
